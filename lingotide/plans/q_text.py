@@ -250,11 +250,11 @@ def prj8(v: Views):
 
 @query(
     "prj9_numeric_pinyin_errors",
-    f"""SELECT id, concat('Numerical pinyin detected in ''', source, ''': ''', text, '''') AS message FROM texts
-WHERE regexp_matches(text, '[a-zA-Z]+[1-4](?:[{WS}]|$|,)')""",
+    f"""SELECT id, concat('Numerical pinyin detected in ''', text, ''': ''', source, '''') AS message FROM texts
+WHERE regexp_matches(source, '[a-zA-Z]+[1-4](?:[{WS}]|$|,)')""",
 )
 def prj9(v: Views):
-    items = v.texts.select("id", F.col("source").alias("text"), F.col("text").alias("romanization"))
+    items = v.texts.select("id", "text", F.col("source").alias("romanization"))
     return X.numeric_pinyin_errors(items)
 
 
