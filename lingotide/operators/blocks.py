@@ -114,7 +114,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float, n
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_block", F.floor(F.col("_x") / F.lit(float(width))))
     )
-    every = Window.partitionBy(*keys)
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     buckets = values.groupBy(*keys, "_block").agg(F.sum("_c").alias("_n"))
     w = every.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     hit = (

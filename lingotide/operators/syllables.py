@@ -16,25 +16,24 @@ def explode_syllables(df: DataFrame, key: str, text: str = "text", romanization:
     Where the romanization has one token per character everything stays in Spark expressions; only
     the other rows go through the Arrow splitter. Missing pieces become '' and surplus ones are cut.
     """
-    rows = df.select(
-        key,
-        F.coalesce(romanization, F.lit("")).alias("_rom"),
-        F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x{4E00}-\\x{9FFF}]", "").alias("_chars"),
-    ).filter(F.length("_chars") > 0)
-    rows = rows.withColumn("_n", F.length("_chars")).withColumn(
+    chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([\\x{4E00}-\\x{9FFF}])"), F.lit(1))
+    rows = df.select(key, F.coalesce(romanization, F.lit("")).alias("_rom"), chars.alias("_chars")).filter(
+        F.size("_chars") > 0
+    )
+    rows = rows.withColumn("_n", F.size("_chars")).withColumn(
         "_tokens", F.split(strip(F.col("_rom")), f"[{WHITESPACE}]+")
     )
     spaced = F.size("_tokens") == F.col("_n")
-    direct = rows.filter(spaced).select(key, "_chars", "_n", F.col("_tokens").alias("_pieces"))
-    cut = rows.filter(~spaced).select(key, "_chars", "_n", PY.split_unspaced_batch("_rom", "_n").alias("_pieces"))
-    syllables = direct.union(cut).select(
-        key,
-        F.posexplode(
-            F.expr(
-                "transform(sequence(1, _n), i -> named_struct('hanzi', substring(_chars, i, 1),"
-                " 'pinyin', coalesce(try_element_at(_pieces, i), '')))"
-            )
-        ).alias("idx", "s"),
+    direct = rows.filter(spaced).select(key, "_chars", F.col("_tokens").alias("_pieces"))
+    cut = rows.filter(~spaced).select(
+        key, "_chars", F.slice(PY.split_unspaced_batch("_rom", "_n"), F.lit(1), F.col("_n")).alias("_pieces")
+    )
+    syllables = (
+        direct.union(cut)
+        .select(key, F.posexplode(F.arrays_zip("_chars", "_pieces")).alias("idx", "z"))
+        .select(
+            key, "idx", F.struct(F.col("z._chars").alias("hanzi"), F.coalesce("z._pieces", F.lit("")).alias("pinyin")).alias("s")
+        )
     )
     parsed = syllables.withColumn("p", PY.parse_syllable(F.col("s.pinyin")))
     return parsed.select(
