@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingotide.operators.blocks import block_of, number_rows
+from lingotide.session import staged
 
 TODAY = "2024-01-31"
 
@@ -303,6 +304,11 @@ class Views:
             "(event_id % 100) / 100.0E0 AS prob",
         )
 
+    @cached_property
+    def frame_table(self) -> DataFrame:
+        """The frames as a written table, for queries that read them several times."""
+        return staged(self.frames, "frames")
+
     @cached_property
     def frame_targets(self) -> DataFrame:
         # the frame count needs no numbering: it is the number of events
