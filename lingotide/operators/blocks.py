@@ -58,7 +58,10 @@ def _before(totals: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], block: Column, name: str = "row_no"
 ) -> DataFrame:
-    """0-based row number per key in ``order``; ``block`` must not decrease along that order."""
+    """0-based row number per key in ``order``; ``block`` must not decrease along that order.
+
+    Keys and block must not be null.
+    """
     placed = df.withColumn("_block", block)
     counts = placed.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     local = placed.withColumn(

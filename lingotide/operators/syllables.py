@@ -10,11 +10,12 @@ from lingotide.functions.text import WHITESPACE, strip
 from lingotide.operators.blocks import BLOCK_ROWS, halo, halo_window, own_rows
 
 
-def explode_syllables(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
-    """One row per Chinese character with its pinyin: (key, idx, hanzi, pinyin, base, initial, final, tone).
+def syllable_arrays(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
+    """Chinese characters of each text paired with their pinyin: (key, syllables array<struct<hanzi, pinyin>>).
 
     Where the romanization has one token per character everything stays in Spark expressions; only
-    the other rows go through the Arrow splitter. Missing pieces become '' and surplus ones are cut.
+    the other rows go through the Arrow splitter. Missing pieces become '' and surplus ones are cut;
+    texts without Chinese characters are left out.
     """
     chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([\\x{4E00}-\\x{9FFF}])"), F.lit(1))
     rows = df.select(key, F.coalesce(romanization, F.lit("")).alias("_rom"), chars.alias("_chars")).filter(
@@ -28,14 +29,17 @@ def explode_syllables(df: DataFrame, key: str, text: str = "text", romanization:
     cut = rows.filter(~spaced).select(
         key, "_chars", F.slice(PY.split_unspaced_batch("_rom", "_n"), F.lit(1), F.col("_n")).alias("_pieces")
     )
-    syllables = (
-        direct.union(cut)
-        .select(key, F.posexplode(F.arrays_zip("_chars", "_pieces")).alias("idx", "z"))
-        .select(
-            key, "idx", F.struct(F.col("z._chars").alias("hanzi"), F.coalesce("z._pieces", F.lit("")).alias("pinyin")).alias("s")
-        )
+    zipped = F.transform(
+        F.arrays_zip("_chars", "_pieces"),
+        lambda z: F.struct(z["_chars"].alias("hanzi"), F.coalesce(z["_pieces"], F.lit("")).alias("pinyin")),
     )
-    parsed = syllables.withColumn("p", PY.parse_syllable(F.col("s.pinyin")))
+    return direct.union(cut).select(key, zipped.alias("syllables"))
+
+
+def explode_syllables(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
+    """One row per Chinese character with its pinyin: (key, idx, hanzi, pinyin, base, initial, final, tone)."""
+    rows = syllable_arrays(df, key, text, romanization).select(key, F.posexplode("syllables").alias("idx", "s"))
+    parsed = rows.withColumn("p", PY.parse_syllable(F.col("s.pinyin")))
     return parsed.select(
         key,
         "idx",
