@@ -5,6 +5,8 @@ Where a reader needs files, Spark first writes them from the given tables below
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 
 from lingotide.operators.corpus import expand_samples, latest_entries, synth_stats
@@ -95,19 +97,17 @@ def src4(v: Views):
     return TR.read_transcript(v.spark, path)
 
 
-def _le(number: str, size: int) -> str:
-    """SQL for the little-endian hex text of a number."""
-    digits = f"lpad(hex(CAST({number} AS BIGINT)), {2 * size}, '0')"
-    return "concat(" + ", ".join(f"substring({digits}, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")"
+def _le(number: str) -> str:
+    """SQL for the little-endian hex text of a 4-byte number."""
+    digits = f"lpad(hex(CAST({number} AS BIGINT)), 8, '0')"
+    return "concat(" + ", ".join(f"substring({digits}, {2 * k + 1}, 2)" for k in reversed(range(4))) + ")"
 
 
-def _wave(samples: str, rate: str) -> str:
+def _wave(samples: str, rate: int = 16000) -> str:
     """SQL for the header bytes of a mono 16-bit wave file."""
-    parts = [
-        "'52494646'", _le(f"36 + 2 * ({samples})", 4), "'57415645666D7420'", _le("16", 4), _le("1", 2), _le("1", 2),
-        _le(rate, 4), _le(f"2 * ({rate})", 4), _le("2", 2), _le("16", 2), "'64617461'", _le(f"2 * ({samples})", 4),
-    ]
-    return f"unhex(concat({', '.join(parts)}))"
+    form = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data"
+    riff, form = b"RIFF".hex(), form.hex()
+    return f"unhex(concat('{riff}', {_le(f'36 + 2 * ({samples})')}, '{form}', {_le(f'2 * ({samples})')}))"
 
 
 @query(
@@ -121,7 +121,7 @@ def src5(v: Views):
     samples = "CAST(floor(abs(c_acctbal)) AS BIGINT)"
     files = v.table("customer").selectExpr(
         "concat('/data/wav/S', c_nationkey, '/utt', c_custkey, '.wav') AS path",
-        f"CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST('broken' AS BINARY) ELSE {_wave(samples, '16000')} END AS content",
+        f"CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST('broken' AS BINARY) ELSE {_wave(samples)} END AS content",
     )
     rows = A.audio_catalog(files)
     return rows.select("speaker", "utt_id", "n_frames", "sample_rate", F.round("duration", 6).alias("duration"))
@@ -158,7 +158,7 @@ FROM lexicon WHERE voice_id IN ('small', 'promo', 'large') AND tone IN (1, 3, 4)
 def src7(v: Views):
     files = v.lexicon.select(
         F.concat(F.lit("lexicon/"), "voice_id", F.lit("/tone"), "tone", F.lit("/"), "base", F.lit(".wav")).alias("relative"),
-        F.expr(_wave("160 * duration_ms", "16000")).alias("content"),
+        F.expr(_wave("160 * duration_ms")).alias("content"),
     )
     voices = v.lexicon.select("voice_id").distinct().filter("voice_id IN ('small', 'promo', 'large')")
     return L.lexicon_from_files(A.parse_audio(files), voices, [1, 3, 4])
