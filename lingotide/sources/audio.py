@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 HEADER_BYTES = 4096
 
 
-def _int(header: Column, at: Column, size: int) -> Column:
-    """Little-endian unsigned integer of the hex text, ``at`` being a byte offset from 0."""
-    digits = [F.substring(header, (at + k) * 2 + 1, F.lit(2)) for k in reversed(range(size))]
-    return F.conv(F.concat(*digits), 16, 10).cast("long")
+def _int(text: Column, at: Column, size: int) -> Column:
+    """Little-endian unsigned integer at a byte offset (from 0) of the one-character-per-byte text."""
+    high_first = F.array(*[F.lit(k) for k in reversed(range(size))])
+    byte = lambda k: F.ascii(F.substring(text, at + k + 1, F.lit(1)))
+    return F.aggregate(high_first, F.lit(0).cast("long"), lambda acc, k: acc * 256 + byte(k))
 
 
 def _chunk(text: Column, name: str) -> Column:
@@ -22,15 +23,15 @@ def _chunk(text: Column, name: str) -> Column:
 
 def parse_audio(files: DataFrame) -> DataFrame:
     """Add sample_rate, channels, sample_width and n_frames from ``content``; unreadable files have 0 frames."""
-    head = F.substring("content", 1, HEADER_BYTES)
     # one character per byte, so chunk names are found at their byte offsets
-    text = F.decode(head, "ISO-8859-1")
-    rows = files.withColumns({"_h": F.hex(head), "_fmt": _chunk(text, "fmt "), "_data": _chunk(text, "data")})
-    wave = F.col("_h").startswith(b"RIFF".hex().upper()) & F.col("_fmt").isNotNull() & F.col("_data").isNotNull()
+    text = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
+    rows = files.withColumn("_h", text)
+    rows = rows.withColumns({"_fmt": _chunk(F.col("_h"), "fmt "), "_data": _chunk(F.col("_h"), "data")})
+    wave = F.col("_h").startswith("RIFF") & F.col("_fmt").isNotNull() & F.col("_data").isNotNull()
     align = _int(F.col("_h"), F.col("_fmt") + 12, 2)
-    frames = F.expr("_bytes div _align")
     rows = rows.withColumns({"_bytes": _int(F.col("_h"), F.col("_data") - 4, 4), "_align": align})
     known = wave & (F.col("_align") > 0)
+    frames = F.expr("_bytes div _align")
     return rows.select(
         *[c for c in files.columns if c != "content"],
         F.when(known, _int(F.col("_h"), F.col("_fmt") + 4, 4).cast("int")).alias("sample_rate"),
