@@ -219,9 +219,10 @@ profile AS (SELECT utt_id, duration, rms, 20 * log10(rms + 1e-10) AS rms_db, pea
 PROFILE_COLS = ["duration", "rms", "rms_db", "peak", "peak_db", "silence_before", "silence_after"]
 
 
-@query("agg20_profile", f"WITH {PROFILE_SQL} SELECT utt_id, {', '.join(f'round({c}, 6) AS {c}' for c in PROFILE_COLS)} FROM profile")
+@query("agg20_profile", f"WITH {PROFILE_SQL} SELECT utt_id, {', '.join(f'round({c}, 8) AS {c}' for c in PROFILE_COLS)} FROM profile")
 def agg20(v: Views):
-    return _r(FR.profile(v.signal, "utt_id"), *PROFILE_COLS)
+    # durations are multiples of 1/16000 s, which eight decimals state exactly
+    return FR.profile(v.signal, "utt_id").withColumns({c: F.round(c, 8) for c in PROFILE_COLS})
 
 
 SUMMARY_SQL = f"""{PROFILE_SQL},

@@ -114,7 +114,7 @@ def _wave(samples: str, rate: int = 16000) -> str:
     "src5_audio_catalog",
     """
 SELECT concat('S', c_nationkey) AS speaker, concat('utt', c_custkey) AS utt_id, CAST(floor(abs(c_acctbal)) AS BIGINT) AS n_frames, 16000 AS sample_rate,
-  round(floor(abs(c_acctbal)) / 16000.0E0, 6) AS duration FROM customer WHERE floor(abs(c_acctbal)) > 0 AND c_mktsegment <> 'MACHINERY'""",
+  round(floor(abs(c_acctbal)) / 16000.0E0, 8) AS duration FROM customer WHERE floor(abs(c_acctbal)) > 0 AND c_mktsegment <> 'MACHINERY'""",
 )
 def src5(v: Views):
     # one broken file per machinery customer
@@ -124,7 +124,7 @@ def src5(v: Views):
         f"CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST('broken' AS BINARY) ELSE {_wave(samples)} END AS content",
     )
     rows = A.audio_catalog(files)
-    return rows.select("speaker", "utt_id", "n_frames", "sample_rate", F.round("duration", 6).alias("duration"))
+    return rows.select("speaker", "utt_id", "n_frames", "sample_rate", F.round("duration", 8).alias("duration"))
 
 
 LATEST_SQL = "SELECT voice_id, base, tone, arg_max(duration_ms, pos) AS duration_ms FROM lexicon_entries GROUP BY 1, 2, 3"

@@ -395,7 +395,7 @@ WITH content AS (SELECT utt_id, max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms, av
 cat AS (SELECT s_suppkey AS utt_id, CASE WHEN s_nationkey > 20 THEN 44100 ELSE 16000 END AS rate, CASE WHEN s_nationkey < 5 THEN 2 ELSE 1 END AS ch,
   2 AS width, CAST(floor(s_acctbal * 100) AS BIGINT) AS n FROM supplier),
 b AS (SELECT * FROM cat LEFT JOIN content USING (utt_id))
-SELECT utt_id, u.c AS check, u.p AS passed, u.e AS expected, round(u.a, 6) AS actual FROM (SELECT utt_id, unnest([
+SELECT utt_id, u.c AS check, u.p AS passed, u.e AS expected, round(u.a, 8) AS actual FROM (SELECT utt_id, unnest([
   {'c': 'sample_rate', 'p': rate = 16000, 'e': '16000', 'a': CAST(rate AS DOUBLE)},
   {'c': 'channels', 'p': ch = 1, 'e': '1', 'a': CAST(ch AS DOUBLE)},
   {'c': 'bit_depth', 'p': width = 2, 'e': '2', 'a': CAST(width AS DOUBLE)},
@@ -411,4 +411,4 @@ def val1(v: Views):
     )
     # the checks do not need the sample order, so the samples are read without numbering
     samples = v.table("lineitem").selectExpr("l_suppkey AS utt_id", "(l_quantity - 25) / 25 AS x")
-    return Q.validate_recordings(catalog, samples).withColumn("actual", F.round("actual", 6))
+    return Q.validate_recordings(catalog, samples).withColumn("actual", F.round("actual", 8))
