@@ -17,12 +17,14 @@ def syllable_arrays(df: DataFrame, key: str, text: str = "text", romanization: s
     the other rows go through the Arrow splitter. Missing pieces become '' and surplus ones are cut;
     texts without Chinese characters are left out.
     """
-    chars = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([\\x{4E00}-\\x{9FFF}])"), F.lit(1))
-    rows = df.select(key, F.coalesce(romanization, F.lit("")).alias("_rom"), chars.alias("_chars")).filter(
-        F.size("_chars") > 0
-    )
-    rows = rows.withColumn("_n", F.size("_chars")).withColumn(
-        "_tokens", F.split(strip(F.col("_rom")), f"[{WHITESPACE}]+")
+    chinese = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x{4E00}-\\x{9FFF}]+", "")
+    rows = df.select(key, F.coalesce(romanization, F.lit("")).alias("_rom"), chinese.alias("_text"))
+    rows = rows.filter("_text <> ''").select(
+        key,
+        "_rom",
+        F.length("_text").alias("_n"),
+        F.split("_text", "").alias("_chars"),
+        F.split(strip(F.col("_rom")), f"[{WHITESPACE}]+").alias("_tokens"),
     )
     spaced = F.size("_tokens") == F.col("_n")
     direct = rows.filter(spaced).select(key, "_chars", F.col("_tokens").alias("_pieces"))

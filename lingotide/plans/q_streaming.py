@@ -22,15 +22,28 @@ def attempt_stream(v: Views):
 @query(
     "stm1_progress_upkeep",
     """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY learner_id, sequence_id ORDER BY arrival_seq DESC) AS k FROM attempts)
-SELECT learner_id, sequence_id, true AS tracked, epoch_us(max(graded_at) FILTER (k = 1)) AS last_us, count(*) AS attempt_count, max(rating) FILTER (k = 1) AS last_rating,
-  string_agg(CAST(arrival_seq AS VARCHAR), ',' ORDER BY k) FILTER (k <= 50) AS arrivals FROM r GROUP BY 1, 2""",
+SELECT learner_id, sequence_id, true AS tracked, epoch_us(arg_max(graded_at, arrival_seq)) AS last_us, count(*) AS attempt_count,
+  arg_max(rating, arrival_seq) AS last_rating FROM attempts GROUP BY 1, 2""",
 )
 def stm1(v: Views):
-    state = PR.latest_progress(run_updates(PR.progress_updates(attempt_stream(v)), "progress"))
+    state = PR.latest(run_updates(PR.progress_updates(attempt_stream(v)), "progress"))
     return state.select(
-        "learner_id", "sequence_id", "tracked", F.unix_micros("last_attempt_at").alias("last_us"), "attempt_count", "last_rating",
-        F.array_join(F.col("arrivals").cast("array<string>"), ",").alias("arrivals"),
+        "learner_id", "sequence_id", "tracked", F.unix_micros("last_attempt_at").alias("last_us"), "attempt_count", "last_rating"
+    )
+
+
+@query(
+    "stm1_history_upkeep",
+    """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY learner_id, sequence_id ORDER BY arrival_seq DESC) AS k FROM attempts)
+SELECT learner_id, sequence_id, string_agg(CAST(arrival_seq AS VARCHAR), ',' ORDER BY k) AS arrivals, string_agg(rating, ',' ORDER BY k) AS ratings
+FROM r WHERE k <= 50 GROUP BY 1, 2""",
+)
+def stm1_history(v: Views):
+    kept = PR.latest(run_updates(PR.history_updates(attempt_stream(v)), "history"))
+    return kept.select(
+        "learner_id", "sequence_id", F.array_join(F.col("arrivals").cast("array<string>"), ",").alias("arrivals"),
+        F.array_join("ratings", ",").alias("ratings"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingotide.operators.blocks import block_of, number_rows
-from lingotide.session import staged
+from lingotide.session import spread, staged
 
 TODAY = "2024-01-31"
 
@@ -253,7 +253,8 @@ class Views:
 
     @cached_property
     def sentences(self) -> DataFrame:
-        docs = self.table("documents").select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("sent_no", "sent"))
+        docs = spread(self.table("documents").select("doc_id", "text"))
+        docs = docs.select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("sent_no", "sent"))
         return docs.select(
             (F.col("doc_id") * 100000 + F.col("sent_no")).alias("sentence_id"),
             "doc_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,50 +13,52 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HISTORY = 50
 PAIR = ["learner_id", "sequence_id"]
-STATE = "attempt_count long, arrivals array<long>, graded array<long>, ratings array<string>"
-OUTPUT = (
-    "learner_id long, sequence_id int, tracked boolean, last_attempt_at timestamp, attempt_count long,"
-    " last_rating string, arrivals array<long>, ratings array<string>"
-)
+STATE = "arrivals array<long>, ratings array<string>"
+OUTPUT = "learner_id long, sequence_id int, arrivals array<long>, ratings array<string>"
 
 
-def _update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    count, arrivals, graded, ratings = state.get if state.exists else (0, [], [], [])
-    history = pd.DataFrame({"arrival_seq": list(arrivals), "graded_us": list(graded), "rating": list(ratings)})
-    for batch in batches:
-        count += len(batch)
-        # only the newest attempts are kept between batches, so a busy pair never piles up
-        history = pd.concat([history, batch[["arrival_seq", "graded_us", "rating"]]]).nlargest(HISTORY, "arrival_seq")
-    arrivals = [int(x) for x in history["arrival_seq"]]
-    graded = [int(x) for x in history["graded_us"]]
-    ratings = history["rating"].tolist()
-    state.update((int(count), arrivals, graded, ratings))
-    yield pd.DataFrame(
-        {
-            "learner_id": [key[0]],
-            "sequence_id": [key[1]],
-            "tracked": [True],
-            "last_attempt_at": [pd.Timestamp(graded[0], unit="us")],
-            "attempt_count": [count],
-            "last_rating": [ratings[0]],
-            "arrivals": [arrivals],
-            "ratings": [ratings],
-        }
+def progress_updates(attempts: DataFrame) -> DataFrame:
+    """Emit the progress state of every pair a micro-batch touches (update mode).
+
+    Arrival order wins and the count is never capped, so the state is a streaming aggregate with
+    map-side partial sums. ``attempts`` has learner_id, sequence_id, arrival_seq, graded_at and rating.
+    """
+    return (
+        attempts.groupBy(*PAIR)
+        .agg(
+            F.max_by(F.struct("graded_at", "rating"), "arrival_seq").alias("last"),
+            F.count(F.lit(1)).alias("attempt_count"),
+        )
+        .select(
+            *PAIR,
+            F.lit(True).alias("tracked"),
+            F.col("last.graded_at").alias("last_attempt_at"),
+            "attempt_count",
+            F.col("last.rating").alias("last_rating"),
+        )
     )
 
 
-def progress_updates(attempts: DataFrame) -> DataFrame:
-    """Emit the new state of every pair a micro-batch touches: arrival order wins, the count is never capped.
+def _keep_newest(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    newest = list(zip(*state.get)) if state.exists else []
+    for batch in batches:
+        # only the newest attempts are kept between batches, so a busy pair never piles up
+        newest = heapq.nlargest(HISTORY, newest + list(zip(batch["arrival_seq"].tolist(), batch["rating"].tolist())))
+    arrivals, ratings = [list(column) for column in zip(*newest)]
+    state.update((arrivals, ratings))
+    yield pd.DataFrame({"learner_id": [key[0]], "sequence_id": [key[1]], "arrivals": [arrivals], "ratings": [ratings]})
 
-    The history keeps the 50 newest attempts by arrival. ``attempts`` has learner_id, sequence_id,
-    arrival_seq, graded_at (a timestamp) and rating.
-    """
-    rows = attempts.select(*PAIR, "arrival_seq", F.unix_micros("graded_at").alias("graded_us"), "rating")
-    return rows.groupBy(*PAIR).applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+def history_updates(attempts: DataFrame) -> DataFrame:
+    """Emit the 50 newest attempts by arrival of every pair a micro-batch touches (update mode)."""
+    rows = attempts.select(*PAIR, "arrival_seq", "rating")
+    return rows.groupBy(*PAIR).applyInPandasWithState(
+        _keep_newest, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout
+    )
 
 
-def latest_progress(updates: DataFrame) -> DataFrame:
-    """Current state per pair from the emitted updates; the count grows with every one of them."""
+def latest(updates: DataFrame) -> DataFrame:
+    """Current row per pair from the emitted updates (with their ``batch_id``)."""
     rest = [c for c in updates.columns if c not in (*PAIR, "batch_id")]
-    newest = updates.groupBy(*PAIR).agg(F.max_by(F.struct(*rest), "attempt_count").alias("s"))
+    newest = updates.groupBy(*PAIR).agg(F.max_by(F.struct(*rest), "batch_id").alias("s"))
     return newest.select(*PAIR, "s.*")
