@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lingotide.functions.pinyin import base_pinyin
-from lingotide.operators.blocks import block_of, running_sum
+from lingotide.operators.blocks import block_of, merge_rows, running_sum
+from lingotide.session import staged
 
 # Which initials combine with which finals.
 GENERAL_INITIALS = ["b", "p", "m", "f", "d", "t", "n", "l", "g", "k", "h", "zh", "ch", "sh", "r", "z", "c", "s"]
@@ -123,7 +124,7 @@ def coverage_summary(syl: DataFrame, lexicon: DataFrame, voice: str, n_sentences
         F.count_if(F.col("covered") & (F.col("n") < UNDER_REPRESENTED)).alias("n_under_represented"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_occurrences"),
     )
-    return summary.withColumn("_one", F.lit(1)).join(n_sentences.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return merge_rows(summary, n_sentences)
 
 
 def coverage_report(syl: DataFrame, lexicon: DataFrame, voice: str) -> DataFrame:
@@ -245,22 +246,23 @@ def timeline(
     """
     keys = [key, "voice_id"]
     gap, overlap = gap_ms * sample_rate // 1000, crossfade_ms * sample_rate // 1000
-    placed = lookup_audio(syl, lexicon, voices).withColumn(
-        "_len", (F.col("duration_ms") * sample_rate / 1000).cast("long")
-    )
+    found = lookup_audio(syl, lexicon, voices)
+    length = (F.col("duration_ms") * sample_rate / 1000).cast("long")
+    placed = staged(found.select(*keys, "idx", length.alias("_len")), "placed-syllables")
     lead_gap = F.when(F.col("idx") > 0, gap).otherwise(0)
     if overlap:
-        first = placed.groupBy(*keys).agg(F.min("idx").alias("_first"))
-        placed = placed.join(first, keys).withColumn(
-            "_len",
-            F.when(F.col("_len") < overlap, F.raise_error(F.lit("piece shorter than the crossfade"))).otherwise(F.col("_len")),
-        )
-        is_first = F.col("idx") == F.col("_first")
-        step = F.when(is_first, F.col("_len") + lead_gap).otherwise(F.col("_len") - overlap)
+        fits = F.when(F.col("_len") < overlap, F.raise_error(F.lit("piece shorter than the crossfade"))).otherwise(F.col("_len"))
+        placed = placed.withColumn("_len", fits)
+        step, shift = F.col("_len") - overlap, F.lit(overlap)
+        if gap:
+            # only the first placed piece can have a gap before it
+            first = placed.groupBy(*keys).agg(F.min("idx").alias("_first"))
+            placed = placed.join(first, keys)
+            shift = shift + F.when(F.col("_first") > 0, gap).otherwise(0)
     else:
-        step = F.col("_len") + lead_gap
+        step, shift = F.col("_len") + lead_gap, F.lit(0)
     start = F.col("_end") - F.col("_len")
-    ends = running_sum(placed, keys, "idx", step, "_end", block_of("idx"))
+    ends = running_sum(placed, keys, "idx", step, "_end", block_of("idx")).withColumn("_end", F.col("_end") + shift)
     return ends.select(
         *keys,
         "idx",

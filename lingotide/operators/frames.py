@@ -156,9 +156,8 @@ def profile_summary(profiles: DataFrame, group: str) -> DataFrame:
 
 def range_cover(summary: DataFrame, group: str, inner: str, outer: str) -> DataFrame:
     """Whether the level range of ``outer`` covers that of ``inner``."""
-    ranges = summary.select(group, "rms_min", "rms_max")
-    a = ranges.filter(F.col(group) == inner).select(F.lit(1).alias("_one"), F.col("rms_min").alias("a"), F.col("rms_max").alias("b"))
-    b = ranges.filter(F.col(group) == outer).select(F.lit(1).alias("_one"), F.col("rms_min").alias("c"), F.col("rms_max").alias("d"))
-    return a.join(b, "_one").select(
-        F.lit(inner).alias("inner_group"), F.lit(outer).alias("outer_group"), (F.expr("a >= c AND b <= d")).alias("covered")
-    )
+    def edge(which: str, name: str) -> Column:
+        return F.max(F.when(F.col(group) == which, F.col(name)))
+
+    covered = (edge(inner, "rms_min") >= edge(outer, "rms_min")) & (edge(inner, "rms_max") <= edge(outer, "rms_max"))
+    return summary.agg(covered.alias("covered")).select(F.lit(inner).alias("inner_group"), F.lit(outer).alias("outer_group"), "covered")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingotide.operators.blocks import exact_median
+from lingotide.operators.blocks import exact_median, merge_rows
 
 TONES = range(5)
 
@@ -105,8 +105,7 @@ def prob_metrics(probs: DataFrame, prob: str = "target_prob") -> DataFrame:
     ]
     means = probs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(prob), F.lit(0.0)).alias("mean_prob"), *shares)
     middle = exact_median(probs, [], prob, 1 / 1024, "median_prob")
-    both = means.withColumn("_one", F.lit(1)).join(middle.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    return both.withColumn("median_prob", F.coalesce("median_prob", F.lit(0.0)))
+    return merge_rows(means, middle).withColumn("median_prob", F.coalesce("median_prob", F.lit(0.0)))
 
 
 def class_mean_prob(probs: DataFrame, cls: str, classes: Sequence[int], prob: str = "target_prob") -> DataFrame:

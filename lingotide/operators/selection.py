@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lingotide.operators.blocks import block_of, number_rows
 from lingotide.operators.practice import PAIR
+from lingotide.session import staged
 
 # Practice need by last rating; never rated counts as 100.
 NEED = {"hard": 100.0, "almost": 75.0, "good": 50.0, "easy": 25.0}
@@ -74,6 +75,7 @@ def practice_queue(
         sequences.filter(F.col("level") == level).select("sequence_id"), [], ["sequence_id"], block_of("sequence_id"), "rank"
     )
     rated = progress.filter("last_rating IS NOT NULL").select(*PAIR, "last_rating").join(ranked, "sequence_id")
+    rated = staged(rated, "rated-sequences")
     numbered = number_rows(rated, ["learner_id"], ["rank"], block_of("rank"), "nth")
     shift = numbered.groupBy("learner_id").agg(
         *[F.count_if(F.col("rank") - F.col("nth") <= k).alias(f"s{k}") for k in range(n)]

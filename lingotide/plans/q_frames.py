@@ -160,7 +160,7 @@ l AS (SELECT utt_id, min(w) AS a, max(w) AS b FROM w JOIN t USING (utt_id) WHERE
 SELECT utt_id, coalesce(greatest(0, (a - 1) * 160), 0) AS start_sample, coalesce(least(total, (b + 2) * 160), total) AS end_sample FROM t LEFT JOIN l USING (utt_id)""",
 )
 def win16_samples(v: Views):
-    return SG.sample_region(v.signal, "utt_id")
+    return SG.sample_region(v.signal_table, "utt_id")
 
 
 # energies of the segment queries: quiet unless an event value is high, so that silences occur
@@ -222,7 +222,7 @@ PROFILE_COLS = ["duration", "rms", "rms_db", "peak", "peak_db", "silence_before"
 @query("agg20_profile", f"WITH {PROFILE_SQL} SELECT utt_id, {', '.join(f'round({c}, 8) AS {c}' for c in PROFILE_COLS)} FROM profile")
 def agg20(v: Views):
     # durations are multiples of 1/16000 s, which eight decimals state exactly
-    return FR.profile(v.signal, "utt_id").withColumns({c: F.round(c, 8) for c in PROFILE_COLS})
+    return FR.profile(v.signal_table, "utt_id").withColumns({c: F.round(c, 8) for c in PROFILE_COLS})
 
 
 SUMMARY_SQL = f"""{PROFILE_SQL},
@@ -234,7 +234,7 @@ SUMMARY_COLS = ["rms_mean", "rms_std", "rms_min", "rms_max", "peak_mean", "peak_
 
 def _summary(v: Views):
     groups = v.table("supplier").selectExpr("s_suppkey AS utt_id", "IF(s_nationkey < 12, 'pulled', 'augmented') AS grp")
-    return FR.profile_summary(FR.profile(v.signal, "utt_id").join(groups, "utt_id"), "grp")
+    return FR.profile_summary(FR.profile(v.signal_table, "utt_id").join(groups, "utt_id"), "grp")
 
 
 @query("agg20_profile_summary", f"WITH {SUMMARY_SQL} SELECT grp, n, {', '.join(f'round({c}, 6) AS {c}' for c in SUMMARY_COLS)} FROM summary")

@@ -220,7 +220,7 @@ starts AS (SELECT utt_id, frame_idx, token, prob FROM (SELECT *, lag(token) OVER
     f"WITH {DECODE_SQL} SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY frame_idx) - 1 AS pos, token FROM starts",
 )
 def win9(v: Views):
-    return SC.ctc_decode(v.frames, "utt_id").select("utt_id", "pos", "token")
+    return SC.ctc_decode(v.frame_table, "utt_id").select("utt_id", "pos", "token")
 
 
 @query(
@@ -228,7 +228,7 @@ def win9(v: Views):
     f"WITH {DECODE_SQL} SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY frame_idx) - 1 AS pos, frame_idx, token, prob FROM starts",
 )
 def win10(v: Views):
-    return SC.ctc_decode(v.frames, "utt_id").select("utt_id", "pos", "frame_idx", "token", "prob")
+    return SC.ctc_decode(v.frame_table, "utt_id").select("utt_id", "pos", "frame_idx", "token", "prob")
 
 
 def _targets(v: Views):

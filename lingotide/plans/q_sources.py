@@ -9,6 +9,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from lingotide.operators.blocks import block_of, merge_rows
 from lingotide.operators.corpus import expand_samples, latest_entries, synth_stats
 from lingotide.operators.syllables import apply_sandhi
 from lingotide.plans.registry import query
@@ -282,7 +283,7 @@ WITH s AS (SELECT speaker, utt_id, (row_number() OVER (ORDER BY speaker, utt_id)
 SELECT shard_id, count(*) AS n, min(speaker) AS first_speaker, max(speaker) AS last_speaker FROM s GROUP BY 1""",
 )
 def snk3(v: Views):
-    block = F.struct("speaker", F.floor(F.col("utt_id") / 4096).alias("b"))
+    block = F.struct("speaker", block_of("utt_id").alias("b"))
     shards = CO.assign_shards(v.utterances, 100, ["speaker", "utt_id"], block)
     return shards.groupBy("shard_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("speaker").alias("first_speaker"), F.max("speaker").alias("last_speaker")
@@ -340,4 +341,4 @@ def win21(v: Views):
     picked = CO.stratified_sample(rows, "sentence_id", F.col("n"), 30)
     facts = picked.agg(F.count(F.lit(1)).alias("n_sample"), F.count_distinct("sentence_id").alias("n_distinct"))
     short = rows.agg(F.count_if(F.col("n") <= 3).alias("have_short"))
-    return short.withColumn("_one", F.lit(1)).join(facts.withColumn("_one", F.lit(1)), "_one").select("have_short", "n_sample", "n_distinct")
+    return merge_rows(short, facts)

@@ -354,6 +354,11 @@ class Views:
         hyp = self.token_lists.select((F.col("utt_id") - 1).alias("utt_id"), F.col("toks").alias("hyp"))
         return ref.join(hyp, "utt_id")
 
+    @cached_property
+    def signal_table(self) -> DataFrame:
+        """The samples as a written table, for queries that read them several times."""
+        return staged(self.signal, "signal")
+
     @cached_property
     def signal(self) -> DataFrame:
         order = [

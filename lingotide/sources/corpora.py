@@ -67,25 +67,28 @@ def source_info(df: DataFrame, declared: Sequence[tuple[str, str]], splits: Sequ
 
 
 def train_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42) -> DataFrame:
-    """Add ``split`` ('train' or 'validation'): exactly int(n * fraction) train rows, by hash order of the key.
+    """Add ``split`` ('train' or 'validation'): exactly int(n * fraction) train rows, by hash order of the unique key.
 
-    Counts over the leading 16 bits of the hash decide all rows but those of one bucket, and only
-    that bucket is ranked.
+    The hash at the cut is found by counting leading bits, 16 at a time within the bucket that holds
+    it, so the rows themselves are labelled in one pass without a shuffle.
     """
-    placed = df.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_block", F.shiftright("_h", 48))
-    counts = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 65,536 buckets
-    w = Window.partitionBy(F.lit(0))
-    buckets = counts.withColumn("_cut", F.floor(F.sum("_n").over(w) * F.lit(fraction))).withColumn(
-        "_before", F.sum("_n").over(w.orderBy("_block")) - F.col("_n")
-    )
-    whole = buckets.filter("_before + _n <= _cut OR _before >= _cut")
-    mixed = buckets.filter("_before + _n > _cut AND _before < _cut")
-    settled = placed.join(whole, "_block").withColumn("_train", F.col("_before") < F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("_h", key))
-    ranked = placed.join(mixed, "_block").withColumn("_train", F.col("_before") + rank <= F.col("_cut"))
-    label = F.when(F.col("_train"), "train").otherwise("validation")
-    return settled.unionByName(ranked).withColumn("split", label).drop("_h", "_block", "_n", "_cut", "_before", "_train")
+    hashed = F.xxhash64(key, F.lit(seed))
+    hashes = df.select(hashed.alias("_h"))
+    need, bucket = int(df.count() * fraction), None
+    if need == 0:
+        return df.withColumn("split", F.lit("validation"))
+    # at most 65,536 counts per step; a step ends with one row
+    w = Window.partitionBy(F.lit(0)).orderBy("_b")
+    for shift in (48, 32, 16, 0):
+        inside = hashes if bucket is None else hashes.filter(F.shiftright("_h", shift + 16) == bucket)
+        counts = inside.groupBy(F.shiftright("_h", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = counts.withColumn("_upto", F.sum("_n").over(w)).filter(F.col("_upto") >= need)
+        hit = upto.orderBy("_b").first()
+        bucket, need = hit["_b"], need - (hit["_upto"] - hit["_n"])
+    # the rare keys that share the hash at the cut are told apart by the key
+    last = df.filter(hashed == bucket).select(key).orderBy(key).limit(need).agg(F.max(key)).first()[0]
+    train = (hashed < bucket) | ((hashed == bucket) & (F.col(key) <= last))
+    return df.withColumn("split", F.when(train, "train").otherwise("validation"))
 
 
 def add_test_split(split: DataFrame, official: DataFrame) -> DataFrame:
