@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Unicode white space as a regex class body (the default \s of Java is ASCII only).
 WHITESPACE = "\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 # Punctuation ignored when texts are compared.
-SCORING_PUNCTUATION = "。，！？、；：\"（）【】《》〈〉…—·.,!?;:'()\\[\\]<>"
+SCORING_PUNCTUATION = "。，！？、；：\"（）【】《》〈〉…—·.,!?;:'()[]<>"
 # Sentence-final punctuation dropped from generated Chinese text.
 TRAILING_PUNCTUATION = ".?!,;:。！？、，；：…"
 # Letters that show a tone-mark romanization.
@@ -16,6 +16,9 @@ MARKED_LETTERS = "āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜü"
 
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+# The same white space as characters.
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_FOLDED = {f: h for f, h in zip(FULL_WIDTH, HALF_WIDTH) if f not in SCORING_PUNCTUATION + SPACES}
 
 
 def to_half_width(text: Column) -> Column:
@@ -24,9 +27,11 @@ def to_half_width(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Form used for comparison: punctuation and white space removed, then half width, then lower case."""
-    bare = F.regexp_replace(text, f"[{SCORING_PUNCTUATION}{WHITESPACE}]", "")
-    return F.lower(to_half_width(bare))
+    """Form used for comparison: punctuation and white space removed, then half width, then lower case.
+
+    One pass over the characters: those without a counterpart in the second list are removed.
+    """
+    return F.lower(F.translate(text, "".join(_FOLDED) + SCORING_PUNCTUATION + SPACES, "".join(_FOLDED.values())))
 
 
 def strip(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingotide.functions.units import HOP, SAMPLE_RATE, WINDOW
-from lingotide.operators.blocks import BLOCK_ROWS, exact_median, halo, halo_window, own_rows
+from lingotide.operators.blocks import BLOCK_ROWS, exact_median, halo, halo_window, largest_group, own_rows
 
 VOICED = 0.5
 MAD_SCALE = 1.4826
@@ -22,9 +22,10 @@ BUCKET = 1 / 64
 def robust_stats(frames: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and median absolute deviation of the voiced frames per key; a zero deviation counts as 1."""
     voiced = frames.filter(F.col("voicing") >= VOICED).select(*keys, F.col(value).alias("_x"))
-    middle = exact_median(voiced, keys, "_x", BUCKET, "median")
+    largest = largest_group(voiced, keys)
+    middle = exact_median(voiced, keys, "_x", BUCKET, "median", largest)
     off = voiced.join(middle, list(keys)).select(*keys, F.abs(F.col("_x") - F.col("median")).alias("_off"))
-    mad = exact_median(off, keys, "_off", BUCKET, "mad")
+    mad = exact_median(off, keys, "_off", BUCKET, "mad", largest)
     return middle.join(mad, list(keys)).withColumn("mad", F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad")))
 
 

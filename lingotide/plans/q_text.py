@@ -12,7 +12,7 @@ from lingotide.plans.registry import query
 from lingotide.plans.views import Views
 
 WS = T.WHITESPACE
-PUNCT = T.SCORING_PUNCTUATION.replace("'", "''")
+PUNCT = T.SCORING_PUNCTUATION.replace("'", "''").replace("[]", "\\[\\]")
 
 
 def norm_sql(col: str) -> str:

@@ -219,7 +219,7 @@ class Views:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self._sql(TEXTS, "documents")
+        return spread(self._sql(TEXTS, "documents"))
 
     @cached_property
     def text_pairs(self) -> DataFrame:

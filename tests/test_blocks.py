@@ -58,14 +58,21 @@ def test_runs(skewed):
     assert rows_of(B.runs(skewed, ["key"], "i", F.col("f"), rows=8)) == sorted(want)
 
 
-def test_exact_median(skewed):
+@pytest.mark.parametrize("largest", [None, B.GROUP_ROWS + 1])
+def test_exact_median(skewed, largest):
     want = {k: round(float(np.median(g)), 9) for k, g in skewed.toPandas().groupby("key")["x"]}
-    got = {r.key: round(r.m, 9) for r in B.exact_median(skewed, ["key"], "x", 0.05, "m").collect()}
+    got = {r.key: round(r.m, 9) for r in B.exact_median(skewed, ["key"], "x", 0.05, "m", largest).collect()}
     assert got == want
-    whole = B.exact_median(skewed, [], "x", 0.05, "m").collect()
+    whole = B.exact_median(skewed, [], "x", 0.05, "m", largest).collect()
     assert round(whole[0].m, 9) == round(float(np.median(skewed.toPandas()["x"])), 9)
 
 
 def test_median_of_equal_values(spark):
     rows = spark.createDataFrame([("k", 2.0)] * 50 + [("k", 3.0)] * 50, "key string, x double")
-    assert B.exact_median(rows, ["key"], "x", 1.0, "m").first().m == 2.5
+    for largest in (None, B.GROUP_ROWS + 1):
+        assert B.exact_median(rows, ["key"], "x", 1.0, "m", largest).first().m == 2.5
+
+
+def test_largest_group(skewed, spark):
+    assert B.largest_group(skewed, ["key"]) == 700
+    assert B.largest_group(spark.createDataFrame([], "key string"), ["key"]) == 0
