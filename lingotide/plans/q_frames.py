@@ -157,7 +157,7 @@ def win16(v: Views):
 WITH w AS (SELECT utt_id, sample_idx // 160 AS w, sqrt(avg(x * x)) AS rms, count(*) AS n FROM signal GROUP BY 1, 2),
 t AS (SELECT utt_id, max(abs(x)) AS top, count(*) AS total FROM signal GROUP BY 1),
 l AS (SELECT utt_id, min(w) AS a, max(w) AS b FROM w JOIN t USING (utt_id) WHERE n = 160 AND rms > CASE WHEN top > 0 THEN 0.02E0 * top ELSE 0.02E0 END GROUP BY 1)
-SELECT utt_id, coalesce(greatest(0, (a - 1) * 160), 0) AS start_sample, coalesce(least(total, (b + 2) * 160), total) AS end_sample FROM t LEFT JOIN l USING (utt_id)""",
+SELECT utt_id, CAST(coalesce(greatest(0, (a - 1) * 160), 0) AS BIGINT) AS start_sample, coalesce(least(total, (b + 2) * 160), total) AS end_sample FROM t LEFT JOIN l USING (utt_id)""",
 )
 def win16_samples(v: Views):
     return SG.sample_region(v.signal_table, "utt_id")
@@ -458,7 +458,7 @@ WITH b AS (SELECT utt_id, n_samples AS n, i AS idx, i * (n_samples // n_syllable
   FROM (SELECT *, unnest(range(n_syllables)) AS i FROM utterances)),
 l AS (SELECT *, greatest(0, e + 1600 - 16000) AS lo, greatest(0, least(s - 1600, n - 16000)) AS hi FROM b),
 c AS (SELECT *, CASE WHEN lo > hi THEN greatest(0, least((s + e) // 2 - 8000, n - 16000)) ELSE (lo + hi) // 2 END AS c FROM l)
-SELECT utt_id, CAST(idx AS INT) AS idx, c AS chunk_start, least(c + 16000, n) AS chunk_end, c // 160 AS first_frame, 98 AS n_frames, greatest(0, c + 16000 - n) AS pad FROM c""",
+SELECT utt_id, CAST(idx AS INT) AS idx, c AS chunk_start, least(c + 16000, n) AS chunk_end, c // 160 AS first_frame, CAST(98 AS BIGINT) AS n_frames, greatest(0, c + 16000 - n) AS pad FROM c""",
 )
 def arr4(v: Views):
     spans = SP.uniform_boundaries(v.utterances, "utt_id").join(v.utterances.select("utt_id", "n_samples"), "utt_id")
@@ -501,7 +501,7 @@ def scr3_syllables(v: Views):
     return _r(rows.select("utt_id", "idx", "expected", "predicted", "confidence", "overall"), "confidence", "overall")
 
 
-@query("scr3_grade", f"WITH {GRADE_SQL} SELECT utt_id, n_syllables, round(score, 6) AS score, NULL AS warning FROM sentence")
+@query("scr3_grade", f"WITH {GRADE_SQL} SELECT utt_id, n_syllables, round(score, 6) AS score, CAST(NULL AS VARCHAR) AS warning FROM sentence")
 def scr3(v: Views):
     return _r(G.grade(v.frame_table, _grading_targets(v), v.frame_targets, "utt_id"), "score")
 

@@ -170,7 +170,7 @@ def agg24_argmax(v: Views):
     return SC.with_probs(v.logits).select("utt_id", "frame", SC.argmax(F.col("probs")).alias("best"))
 
 
-@query("win11_target_rank", f"WITH {RANK_SQL} SELECT utt_id, frame, target, round(target_prob, 6) AS target_prob, target_rank FROM ranked")
+@query("win11_target_rank", f"WITH {RANK_SQL} SELECT utt_id, frame, target, round(target_prob, 6) AS target_prob, CAST(target_rank AS INT) AS target_rank FROM ranked")
 def win11(v: Views):
     return _ranked(v).select("utt_id", "frame", "target", F.round("target_prob", 6).alias("target_prob"), "target_rank")
 

@@ -334,7 +334,7 @@ def jn2(v: Views):
     return CO.join_transcripts(v.utterances, transcripts).select("utt_id", "speaker", "n_samples", "text")
 
 
-@query("win21_stratified_sample", "SELECT count(*) FILTER (n <= 3) AS have_short, 30 AS n_sample, 30 AS n_distinct FROM (SELECT len(words) AS n FROM sentences)")
+@query("win21_stratified_sample", "SELECT count(*) FILTER (n <= 3) AS have_short, CAST(30 AS BIGINT) AS n_sample, CAST(30 AS BIGINT) AS n_distinct FROM (SELECT len(words) AS n FROM sentences)")
 def win21(v: Views):
     """Size and distinctness of a 30-sentence sample, next to how many short sentences there are."""
     rows = v.sentences.select("sentence_id", F.size("words").alias("n"))

@@ -320,7 +320,7 @@ def jn8_encode(v: Views):
 
 @query(
     "jn8_decode",
-    f"""WITH {VOCAB_SQL}, ids AS (SELECT sentence_id, idx, length(base) * 3 - 6 + idx % 2 AS token_id FROM syllables)
+    f"""WITH {VOCAB_SQL}, ids AS (SELECT sentence_id, idx, CAST(length(base) * 3 - 6 + idx % 2 AS INT) AS token_id FROM syllables)
 SELECT sentence_id, idx, ids.token_id, CASE ids.token_id WHEN 0 THEN '<PAD>' WHEN 1 THEN '<BOS>' ELSE coalesce(syllable, '<UNK>') END AS syllable
 FROM ids LEFT JOIN vocab ON vocab.token_id = ids.token_id""",
 )
