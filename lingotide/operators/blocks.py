@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1 << 16
+# intervals meet frames on far smaller blocks, since all of a block's pairs are compared
+BAND_ROWS = 1 << 10
 # keys up to this many rows may be aggregated in one piece
 GROUP_ROWS = 1 << 20
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingotide.functions.units import FRAME_HZ, ms_to_frame, semitones
-from lingotide.operators.blocks import BLOCK_ROWS, block_of, number_rows
+from lingotide.operators.blocks import BAND_ROWS, block_of, number_rows
 from lingotide.operators.frames import VOICED, robust_normalize
 from lingotide.session import staged
 
@@ -14,7 +14,7 @@ POINTS = 20
 MIN_VOICED = 3
 
 
-def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str, frame_hz: float = FRAME_HZ, block: int = BLOCK_ROWS) -> DataFrame:
+def frames_in_spans(frames: DataFrame, spans: DataFrame, key: str, frame_hz: float = FRAME_HZ, block: int = BAND_ROWS) -> DataFrame:
     """Frames with the span (key, idx) they fall into. Both sides meet on (key, block of frames)."""
     cut = spans.withColumn("_from", F.greatest(F.lit(0), ms_to_frame(F.col("start_ms"), frame_hz))).withColumn(
         "_to", ms_to_frame(F.col("end_ms"), frame_hz)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingotide.functions.units import HOP, HOP_MS, SAMPLE_RATE, WINDOW
-from lingotide.operators.blocks import BLOCK_ROWS, block_of, halo, halo_window, number_rows, own_rows, running_sum, runs
+from lingotide.operators.blocks import BAND_ROWS, BLOCK_ROWS, block_of, halo, halo_window, number_rows, own_rows, running_sum, runs
 from lingotide.operators.frames import VOICED
 
 MIN_GAP = 2
@@ -59,7 +59,9 @@ def boundary_spans(boundaries: DataFrame, targets: DataFrame, key: str, confiden
     )
 
 
-def energy_boundaries(frames: DataFrame, targets: DataFrame, key: str, block: int = BLOCK_ROWS) -> DataFrame:
+def energy_boundaries(
+    frames: DataFrame, targets: DataFrame, key: str, block: int = BLOCK_ROWS, band: int = BAND_ROWS
+) -> DataFrame:
     """Boundary i at the lowest smoothed energy near its even position: (key, boundary_no, boundary).
 
     Energy is median-smoothed over three frames with repeated edges. The search windows meet the frames
@@ -75,7 +77,7 @@ def energy_boundaries(frames: DataFrame, targets: DataFrame, key: str, block: in
     )
     smooth = own_rows(
         halo(frames.select(key, "frame_idx", "energy"), "frame_idx", 1, 1, block).withColumn("_e", around)
-    ).select(key, "frame_idx", F.element_at("_e", 2).alias("_e"), block_of("frame_idx", block).alias("_block"))
+    ).select(key, "frame_idx", F.element_at("_e", 2).alias("_e"), block_of("frame_idx", band).alias("_block"))
     windows = (
         targets.filter("n_syllables > 1")
         .withColumn("boundary_no", F.explode(F.sequence(F.lit(0), F.col("n_syllables") - 2)))
@@ -86,7 +88,7 @@ def energy_boundaries(frames: DataFrame, targets: DataFrame, key: str, block: in
     )
     searched = (
         windows.filter("_from < _to")
-        .withColumn("_block", F.explode(F.sequence(block_of("_from", block), block_of(F.col("_to") - 1, block))))
+        .withColumn("_block", F.explode(F.sequence(block_of("_from", band), block_of(F.col("_to") - 1, band))))
         .select(key, "boundary_no", "_from", "_to", "_block")
         .join(smooth, [key, "_block"])
         .filter("frame_idx >= _from AND frame_idx < _to")

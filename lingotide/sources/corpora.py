@@ -99,16 +99,17 @@ def add_test_split(split: DataFrame, official: DataFrame) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, words: Column, n: int, seed: int = 42) -> DataFrame:
     """n rows: a third from each word-count stratum (up to 3, 4 to 6, above 6), topped up from the rest.
 
-    Only the first n rows of each stratum in hash order can be chosen, and Spark limits them
-    before the shuffle.
+    Each stratum gives its first n rows in hash order (every task keeps n of its own), and the pick is
+    made among those.
     """
     stratum = F.when(words <= 3, 0).when(words <= 6, 1).otherwise(2)
     rows = df.withColumn("stratum", stratum).withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    w = Window.partitionBy("stratum").orderBy("_h", key)
-    candidates = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
+    strata = [rows.filter(F.col("stratum") == k).orderBy("_h", key).limit(n) for k in range(3)]
+    candidates = strata[0].union(strata[1]).union(strata[2])
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("_h", key))
     first = F.col("_rank") <= max(1, n // 3)
-    order = [(~first), F.when(first, F.col("stratum")), "_h", key]
-    return candidates.orderBy(*order).limit(n).drop("_h", "_rank")
+    order = [~first, F.when(first, F.col("stratum")), "_h", key]
+    return candidates.withColumn("_rank", rank).orderBy(*order).limit(n).drop("_h", "_rank")
 
 
 def assign_shards(utts: DataFrame, size: int, order: Sequence[str], block: Column) -> DataFrame:

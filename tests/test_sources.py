@@ -28,7 +28,7 @@ def dataset(**changes):
         "schema_version": "1.0.0",
         "dataset_id": "core_v1",
         "language": "zh-CN",
-        "generated_at": "2026-02-06T10:00:00Z",
+        "generated_at": "2025-05-04T03:02:01Z",
         "items": [
             {
                 "id": "ts_000001",
