@@ -141,4 +141,4 @@ def split_unspaced(romanization: str, n: int) -> list[str]:
 @F.pandas_udf(ArrayType(StringType()))
 def split_unspaced_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for romanization, n in batches:
-        yield pd.Series([split_unspaced(r, int(k)) for r, k in zip(romanization, n)])
+        yield pd.Series([None if r is None else split_unspaced(r, k) for r, k in zip(romanization, n)], dtype=object)

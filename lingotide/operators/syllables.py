@@ -13,9 +13,9 @@ from lingotide.operators.blocks import BLOCK_ROWS, halo, halo_window, own_rows
 def syllable_arrays(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
     """Chinese characters of each text paired with their pinyin: (key, syllables array<struct<hanzi, pinyin>>).
 
-    Where the romanization has one token per character everything stays in Spark expressions; only
-    the other rows go through the Arrow splitter. Missing pieces become '' and surplus ones are cut;
-    texts without Chinese characters are left out.
+    Where the romanization has one token per character its tokens are used; the Arrow splitter sees a
+    null for such a row and works only on the others, so the input is read once. Missing pieces become ''
+    and surplus ones are cut; texts without Chinese characters are left out.
     """
     chinese = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x{4E00}-\\x{9FFF}]+", "")
     rows = df.select(key, F.coalesce(romanization, F.lit("")).alias("_rom"), chinese.alias("_text"))
@@ -27,15 +27,13 @@ def syllable_arrays(df: DataFrame, key: str, text: str = "text", romanization: s
         F.split(strip(F.col("_rom")), f"[{WHITESPACE}]+").alias("_tokens"),
     )
     spaced = F.size("_tokens") == F.col("_n")
-    direct = rows.filter(spaced).select(key, "_chars", F.col("_tokens").alias("_pieces"))
-    cut = rows.filter(~spaced).select(
-        key, "_chars", F.slice(PY.split_unspaced_batch("_rom", "_n"), F.lit(1), F.col("_n")).alias("_pieces")
-    )
+    split = rows.withColumn("_cut", PY.split_unspaced_batch(F.when(~spaced, F.col("_rom")), F.col("_n")))
+    pieces = F.when(spaced, F.col("_tokens")).otherwise(F.slice("_cut", F.lit(1), F.col("_n")))
     zipped = F.transform(
         F.arrays_zip("_chars", "_pieces"),
         lambda z: F.struct(z["_chars"].alias("hanzi"), F.coalesce(z["_pieces"], F.lit("")).alias("pinyin")),
     )
-    return direct.union(cut).select(key, zipped.alias("syllables"))
+    return split.select(key, "_chars", pieces.alias("_pieces")).select(key, zipped.alias("syllables"))
 
 
 def explode_syllables(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
