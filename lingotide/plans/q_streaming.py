@@ -22,14 +22,12 @@ def attempt_stream(v: Views):
 @query(
     "stm1_progress_upkeep",
     """
-SELECT learner_id, sequence_id, true AS tracked, epoch_us(arg_max(graded_at, arrival_seq)) AS last_us, count(*) AS attempt_count,
+SELECT learner_id, sequence_id, true AS tracked, arg_max(graded_at, arrival_seq) AS last_attempt_at, count(*) AS attempt_count,
   arg_max(rating, arrival_seq) AS last_rating FROM attempts GROUP BY 1, 2""",
 )
 def stm1(v: Views):
     state = PR.latest(run_updates(PR.progress_updates(attempt_stream(v)), "progress"))
-    return state.select(
-        "learner_id", "sequence_id", "tracked", F.unix_micros("last_attempt_at").alias("last_us"), "attempt_count", "last_rating"
-    )
+    return state.withColumn("last_attempt_at", F.col("last_attempt_at").cast("timestamp_ntz"))
 
 
 @query(
