@@ -21,6 +21,19 @@ DIGRAPH_INITIALS = "zh|ch|sh"
 LETTER_INITIALS = "bpmfdtnlgkhjqxzcsryw"
 
 
+def _last(text: Column) -> Column:
+    return F.substring(text, -1, 1)
+
+
+def _without_last(text: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - 1)
+
+
+def _last_mark(low: Column) -> Column:
+    """The last marked vowel, or ''."""
+    return F.regexp_extract(low, f"(?s)^.*([{MARKED}])", 1)
+
+
 def base_pinyin(syllable: Column, variant: str = "plain") -> Column:
     """Lower case without tone mark.
 
@@ -32,7 +45,7 @@ def base_pinyin(syllable: Column, variant: str = "plain") -> Column:
         return F.translate(bare, "üv", "uu")
     if variant == "corpus":
         bare = F.translate(bare, "v", "ü")
-    return F.regexp_replace(bare, "[0-9]$", "")
+    return F.when(_last(bare).between("0", "9"), _without_last(bare)).otherwise(bare)
 
 
 def tone_of(syllable: Column, which: str = "last") -> Column:
@@ -44,30 +57,28 @@ def tone_of(syllable: Column, which: str = "last") -> Column:
         mark = F.regexp_extract(syllable, f"([{MARKED}])", 1)
         return F.when(mark != "", F.translate(mark, MARKED, TONES).cast("int")).otherwise(0)
     low = F.lower(syllable)
-    mark = F.regexp_extract(low, f"(?s)^.*([{MARKED}])", 1)
-    digit = F.regexp_extract(low, "([0-4])$", 1)
+    mark = _last_mark(low)
     return (
         F.when(mark != "", F.translate(mark, MARKED, TONES).cast("int"))
-        .when(digit != "", digit.cast("int"))
+        .when(_last(low).between("0", "4"), _last(low).cast("int"))
         .otherwise(0)
     )
 
 
 def initial_final(base: Column) -> Column:
     """struct(initial, final) of a base form; the initial may be empty."""
-    pattern = f"^({DIGRAPH_INITIALS}|[{LETTER_INITIALS}])?"
-    initial = F.regexp_extract(base, pattern, 1)
-    return F.struct(initial.alias("initial"), F.regexp_replace(base, pattern, "").alias("final"))
+    initial = F.regexp_extract(base, f"^({DIGRAPH_INITIALS}|[{LETTER_INITIALS}])?", 1)
+    final = F.substring(base, F.length(initial) + 1, F.length(base))
+    return F.struct(initial.alias("initial"), final.alias("final"))
 
 
 def parse_syllable(syllable: Column) -> Column:
     """struct(initial, final, tone); a tone digit is dropped only where it gave the tone."""
-    plain = F.translate(F.lower(syllable), MARKED, PLAIN)
-    tone = tone_of(syllable)
-    marked = F.lower(syllable).rlike(f"[{MARKED}]")
-    base = F.when(marked, plain).otherwise(F.regexp_replace(plain, "[0-4]$", ""))
-    parts = initial_final(base)
-    return F.struct(parts["initial"].alias("initial"), parts["final"].alias("final"), tone.alias("tone"))
+    low = F.lower(syllable)
+    plain = F.translate(low, MARKED, PLAIN)
+    gave_tone = (_last_mark(low) == "") & _last(low).between("0", "4")
+    parts = initial_final(F.when(gave_tone, _without_last(plain)).otherwise(plain))
+    return F.struct(parts["initial"].alias("initial"), parts["final"].alias("final"), tone_of(syllable).alias("tone"))
 
 
 def parse_numbered(pinyin: Column) -> Column:
