@@ -42,6 +42,23 @@ def test_number_rows_without_key(skewed):
     assert [r.n for r in got.orderBy("key", "i").collect()] == list(range(774))
 
 
+def test_totals_of_many_blocks_are_summed_in_spans(skewed):
+    totals = skewed.select("key", F.col("i").alias("_block"), "x")
+    w = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    want = totals.select("key", "_block", F.round(F.coalesce(F.sum("x").over(w), F.lit(0)), 6))
+    got = B._before(totals, ["key"], "x", span=16)
+    assert rows_of(got.select("key", "_block", F.round("_before", 6))) == rows_of(want)
+
+
+def test_number_sorted(skewed, spark):
+    got = B.number_sorted(skewed, [F.desc("x"), "key", "i"], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(774))
+    assert [(-r.x, r.key, r.i) for r in got] == sorted((-r.x, r.key, r.i) for r in got)
+    odd = spark.createDataFrame([(None,), (2,), (2,), (None,)], "v int")
+    assert sorted(r.n for r in B.number_sorted(odd, ["v"], "n").collect()) == [0, 1, 2, 3]
+    assert B.number_sorted(odd.filter("v > 5"), ["v"], "n").count() == 0
+
+
 def test_running_sum(skewed):
     w = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.select("key", "i", F.round(F.sum("x").over(w), 6).alias("s"))
