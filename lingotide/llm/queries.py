@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import mixing, sharding
+from lingotide.llm import mixing, personal_data, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,21 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 5, 2, 1 along the sources, at most three times a source."""
     mixed = mixing.mix_sources(texts_of(spark, sf_dir))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
+
+
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the spans found in each document."""
+    found = personal_data.find_personal_data(texts_of(spark, sf_dir))
+    spans = F.col("spans")
+    counts = [F.size(F.filter(spans, _is_kind(k))).cast("long").alias(f"n_{k}") for k in personal_data.BASE]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(personal_data.joined(spans, personal_data.BASE), 256).alias("base_sha256"),
+        personal_data.joined(spans).alias("spans"),
+    )
+
+
+def _is_kind(kind: str):
+    return lambda s: s["kind"] == kind
