@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import mixing, personal_data, sharding
+from lingotide.llm import fingerprints, mixing, personal_data, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,42 @@ def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"), "source")
 
 
+@query
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against its half-replaced text and the next document."""
+    compared = fingerprints.compare_edits(texts_of(spark, sf_dir))
+    return compared.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+ORACLES["op2_merkle_fingerprints"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+pairs AS (SELECT a.doc_id, a.text, b.text AS next_text,
+    CAST(length(a.text) // 2 AS BIGINT) AS cut FROM d a JOIN d b ON b.n = a.n % (SELECT count(*) FROM d) + 1),
+three AS (SELECT doc_id, text, next_text, substring(text, 1, length(text) - cut) || substring(next_text, 1, cut) AS edited FROM pairs),
+long AS (SELECT doc_id, 0 AS k, text AS t FROM three UNION ALL SELECT doc_id, 1, edited FROM three UNION ALL SELECT doc_id, 2, next_text FROM three),
+leaves AS (SELECT doc_id, k, t, list_transform(regexp_extract_all(t, '[^
+]+
+*|
++'),
+    lambda s: list_transform(regexp_extract_all(s, '[^.!?|
+]+[.!?|
+ ]*|[.!?|
+ ]+'), lambda p: sha256(p))) AS ls FROM long),
+marks AS (SELECT doc_id, k, t, sha256(array_to_string(list_transform(ls, lambda s: sha256(array_to_string(s, ''))), '')) || ':'
+    || array_to_string(list_transform(ls, lambda s: array_to_string(list_transform(s, lambda p: substring(p, 1, 8)), '.')), '/') AS mark,
+    list_distinct(list_transform(flatten(ls), lambda p: substring(p, 1, 8))) AS ps FROM leaves),
+m AS (SELECT doc_id, max(mark) FILTER (k = 0) AS m0, max(mark) FILTER (k = 1) AS m1, max(mark) FILTER (k = 2) AS m2,
+    any_value(ps) FILTER (k = 0) AS p0, any_value(ps) FILTER (k = 1) AS p1, any_value(ps) FILTER (k = 2) AS p2,
+    max(length(t)) FILTER (k = 0) AS n_chars, max(sha256(t)) FILTER (k = 1) AS edited_sha256 FROM marks GROUP BY doc_id)
+SELECT doc_id, n_chars, edited_sha256, m0 AS fingerprint, m1 AS edited_fingerprint,
+  CASE WHEN m0 = m1 THEN 1.0 WHEN len(p0) + len(p1) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(p0, p1)) / (len(p0) + len(p1)) END::DOUBLE AS near_edited,
+  CASE WHEN m0 = m2 THEN 1.0 WHEN len(p0) + len(p2) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(p0, p2)) / (len(p0) + len(p2)) END::DOUBLE AS near_next
+FROM m"""
+
+
 @query
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 equal shards under the law ``key``."""
