@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import fingerprints, mixing, personal_data, sharding
+from lingotide.llm import fingerprints, mixing, personal_data, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,23 @@ SELECT doc_id, n_chars, edited_sha256, m0 AS fingerprint, m1 AS edited_fingerpri
 FROM m"""
 
 
+def held_out(key: Column) -> Column:
+    """One of five ids is kept for judging; a null id is not."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labels of ids that are not held out, applied to all."""
+    texts = texts_of(spark, sf_dir).select("id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
+    model = quality.fit_quality(texts, labels, ~held_out(F.col("id")))
+    scored = quality.score_quality(texts, model)
+    return scored.select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 equal shards under the law ``key``."""
