@@ -93,6 +93,8 @@ def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
     # the first row of a stretch is copied to the stretch before, that of all to the last one
     earlier = numbered.select((F.col("no") + 1).alias("no"), F.col("stretch").alias("to"))
     homes = numbered.join(earlier, "no", "left").select(F.col("first").alias("id"), F.coalesce("to", F.lit(last)).alias("to"))
+    # a written table's size is known, so a small one does not make the texts move for this join
+    homes = staged(homes, "stretch-homes")
     own = F.struct(stretch.alias("stretch"), F.lit(0).alias("late"))
     copy = F.struct(F.col("to").alias("stretch"), F.lit(1).alias("late"))
     placed = (
