@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import fingerprints, mixing, personal_data, quality, sharding
+from lingotide.llm import bpe, fingerprints, mixing, personal_data, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,30 @@ def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"), "source")
 
 
+# the vocabulary of the contracts; another file's path may be given to the operators
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary() -> str:
+    """Where the public vocabularies are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text they decode to."""
+    rules = bpe.load_rules(vocabulary())
+    decoded = bpe.decode_tokens(bpe.encode_texts(texts_of(spark, sf_dir), rules), rules)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against its half-replaced text and the next document."""
