@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import bpe, fingerprints, mixing, personal_data, quality, sharding
+from lingotide.llm import bpe, fingerprints, mixing, neighbours, personal_data, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +117,15 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
 
 
+@query
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    contours = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("f0_norm"))
+    found = neighbours.nearest_contours(contours, contours.filter("id % 100 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @query
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the spans found in each document."""
