@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import bpe, fingerprints, mixing, neighbours, personal_data, quality, sharding
+from lingotide.llm import bpe, fingerprints, mixing, neighbours, overlap, personal_data, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,24 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _is_kind(kind: str):
     return lambda s: s["kind"] == kind
+
+
+@query
+def op9_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, Jaccard of 0.85 and more."""
+    groups = overlap.overlap_groups(texts_of(spark, sf_dir), overlap.Rule(words=4, num=85, den=100))
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+ORACLES["op9_count_vector_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id
+FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n"""
