@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import bpe, fingerprints, mixing, neighbours, overlap, personal_data, quality, sharding
+from lingotide.llm import bpe, fingerprints, licences, mixing, neighbours, overlap, personal_data, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,18 @@ l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE
 r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.v), n.doc_id)) AS component_id
 FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n"""
+
+
+@query
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the families of its notices and their places."""
+    found = F.col("licences")
+    places = F.transform(found, lambda s: F.concat_ws(":", s["family"], s["start"].cast("string"), s["end"].cast("string")))
+    scanned = licences.scan_licences(texts_of(spark, sf_dir))
+    return scanned.select(
+        F.col("id").alias("doc_id"),
+        F.size(found).cast("long").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(found["family"])), ",").alias("families"),
+        F.array_join(places, ",").alias("spans"),
+        F.coalesce(F.array_max(found["score"]), F.lit(0.0)).alias("score"),
+    )
