@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from lingotide.llm.common import whole
 
 # pieces remembered per worker and their ids; beyond it the memory starts afresh
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 # so many characters of texts are worked on at once
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 _NONE = np.int64(1) << 62
 _PLACES = 32  # bits below a pair's rank that hold its place
 _BLANKS = regex.compile(r"\p{White_Space}+")
