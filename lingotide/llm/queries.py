@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import bpe, fingerprints, licences, mixing, neighbours, overlap, personal_data, quality, sharding
+from lingotide.llm import bpe, fingerprints, licences, mixing, neighbours, overlap, personal_data, quality, sharding, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,18 @@ SELECT doc_id, n_chars, edited_sha256, m0 AS fingerprint, m1 AS edited_fingerpri
 FROM m"""
 
 
+@query
+def op3_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in ascending order and read back from the files."""
+    folder = tokenfiles.token_folder(spark)
+    tokenfiles.write_tokens(texts_of(spark, sf_dir), folder, vocabulary())
+    read = tokenfiles.read_tokens(spark, folder)
+    return read.select(
+        F.col("id").alias("doc_id"), "start", F.size("token_ids").cast("long").alias("n_tokens"),
+        tokenfiles.little_endian_crc32("token_ids").alias("ids_crc32"),
+    )
+
+
 def held_out(key: Column) -> Column:
     """One of five ids is kept for judging; a null id is not."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
