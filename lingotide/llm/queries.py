@@ -129,6 +129,28 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source", "source_size", "target", "taken")
 
 
+ORACLES["op6_mix_sources"] = r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|17'), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM src),
+o AS (SELECT *, row_number() OVER (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST) AS n FROM w),
+lv AS (SELECT o.*, (total - coalesce(sum(source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3.0::DOUBLE)
+    / sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+t AS (SELECT source, source_size, least(source_size * 3.0::DOUBLE, (SELECT arg_min(level, n) FROM lv WHERE level * w <= source_size * 3.0::DOUBLE) * w) AS target FROM o),
+plan AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-12::DOUBLE) AS sure FROM t),
+pl AS (SELECT *, greatest(target - sure * source_size, 0) AS rest, CASE WHEN source_size > 0 THEN greatest(target - sure * source_size, 0) / source_size ELSE 0 END AS p FROM plan),
+r AS (SELECT s.doc_id, s.size, s.source, pl.* EXCLUDE (source), CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) ELSE 1 END AS rank
+    FROM sized s JOIN pl ON s.source IS NOT DISTINCT FROM pl.source),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+i AS (SELECT *, p > 0 AND upto <= rest AS inside, coalesce(max(CASE WHEN p > 0 AND upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS got FROM c),
+f AS (SELECT source, arg_min(doc_id, (abs(size - (rest - got)), rank, doc_id)) AS fill FROM i
+    WHERE NOT inside AND p > 0 AND size > 0 AND abs(size - (rest - got)) < rest - got GROUP BY source)
+SELECT i.doc_id, i.size, i.source, i.source_size, i.target,
+  CAST((sure + CASE WHEN inside OR i.doc_id = f.fill AND p > 0 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM i LEFT JOIN f ON i.source IS NOT DISTINCT FROM f.source"""
+
+
 @query
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth vector."""
@@ -156,6 +178,26 @@ def _is_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+ORACLES["op8_personal_data"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pat(kind, rank, pat, base) AS (VALUES
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', true), ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', true),
+  ('card', 2, '[0-9]([\x20-]?[0-9])+', true), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]', true)),
+m AS (SELECT doc_id, t, kind, rank, regexp_extract_all(t, pat) AS ms, string_split_regex(t, pat) AS gs FROM d, pat),
+u AS (SELECT doc_id, t, kind, rank, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+p AS (SELECT doc_id, kind, rank, ms[i] AS v, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM u),
+g AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS dg FROM p),
+ok AS (SELECT doc_id, kind, rank, s, s + length(v) AS e FROM g WHERE CASE kind
+  WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: try_cast(x AS HUGEINT))) <= 255 AND len(list_filter(string_split(v, '.'), lambda x: length(x) > 30)) = 0
+  WHEN 'card' THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN i % 2 = 1
+      THEN CAST(substr(reverse(dg), i, 1) AS INT) ELSE CAST(substr(reverse(dg), i, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse(dg), i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15 ELSE true END),
+l AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS j, count(*) FILTER (kind = 'email') AS n_email,
+  count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone FROM ok GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(j, '')) AS base_sha256, coalesce(j, '') AS spans FROM d LEFT JOIN l USING (doc_id)"""
+
+
 @query
 def op9_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, Jaccard of 0.85 and more."""
