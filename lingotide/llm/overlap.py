@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingotide.llm.common import whole
@@ -155,9 +155,9 @@ class CountTree:
     def _possible(self, overlap: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
         return (self.rule.den + self.rule.num) * overlap >= self.rule.num * (sizes + others)
 
-    def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) pairs whose bound reaches the rule."""
-        found_q, found_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, bound of their overlap) of the pairs whose bound reaches the rule."""
+        found_q, found_r, found_o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             (box, least, rows, children), asked = todo.pop()
@@ -170,10 +170,11 @@ class CountTree:
                 continue
             for row in rows:
                 exact = np.minimum(points[asked], self.points[row]).sum(1, dtype=np.int64)
-                hit = asked[self._possible(exact, sizes[asked], self.sizes[row])]
-                found_q.append(hit)
-                found_r.append(np.full(len(hit), row))
-        return np.concatenate(found_q), np.concatenate(found_r)
+                hit = self._possible(exact, sizes[asked], self.sizes[row])
+                found_q.append(asked[hit])
+                found_r.append(np.full(int(hit.sum()), row))
+                found_o.append(exact[hit])
+        return np.concatenate(found_q), np.concatenate(found_r), np.concatenate(found_o)
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -268,14 +269,15 @@ def candidate_homes(sketched: DataFrame) -> DataFrame:
     return marked.join(shared.select("mark", "home"), "mark").filter("id <> home").select("home", "id").distinct()
 
 
-def overlap_links(texts: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect all linked sentence texts (id, text), and the sketches (id, n_shingles).
+def connect(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of sentence texts (id, text) that links connect to smaller ids, and (id, n_shingles) of all.
 
     Texts that share a mark meet under the smallest id among them, their home, so every linked pair meets somewhere.
     First each is compared with its home alone: the bound of the count vectors, then the sets. Pairs that both link
     with their home are connected and need no comparison. The others are searched in an R-tree of all texts of that
-    home, in cells of bounded size, and what passes the bound is verified by the sets. So no linked pair stays
-    unconnected, and a large group of near copies costs one comparison per copy.
+    home, in cells of bounded size. What passes the bound is verified by the sets in rounds, each text's likeliest pairs
+    first; pairs that the links so far connect are dropped, all others are verified in the end. So no linked pair
+    stays unconnected, and sets move in proportion to the texts in such groups, not to their pairs.
     """
     sketched = staged(sketches(texts, rule), "sketches")
     points = sketched.filter("point IS NOT NULL").select("id", "n_shingles", "point")
@@ -286,18 +288,39 @@ def overlap_links(texts: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, Dat
     near = _bound_reached(rule)("point", "n_shingles", "home_point", "home_n")
     stars = staged(asked.filter(near).select(F.col("home").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
 
-    sets = shingle_sets
-    star_sets = staged(sets(_only(texts, _ends(stars)), rule), "star-sets")
+    star_ends = staged(_ends(stars), "star-ends")
+    star_sets = staged(shingle_sets(_only(texts, star_ends), rule), "star-sets")
     star_links = staged(verified(stars, star_sets, rule), "star-links")
 
     loose = homes.join(star_links.select(F.col("a").alias("home"), F.col("b").alias("id")), ["home", "id"], "left_anti")
     pairs = staged(_tree_pairs(homes, loose, points, rule).join(stars, ["a", "b"], "left_anti"), "tree-pairs")
-    more = _ends(pairs)
-    lacking = more.join(_ends(stars), "id", "left_anti")
-    tree_sets = staged(sets(_only(texts, lacking), rule), "tree-sets").unionByName(star_sets)
-    tree_links = verified(pairs, tree_sets, rule)
     copies = sketched.filter("same_as IS NOT NULL").select(F.col("same_as").alias("a"), F.col("id").alias("b"))
-    return copies.unionByName(star_links).unionByName(tree_links), sketched.select("id", "n_shingles")
+    first = staged(components(copies.unionByName(star_links)), "connected")
+    # from here on components stand for their texts
+    of = lambda end: first.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    placed = placed.withColumn("ca", F.coalesce("_a", "a")).withColumn("cb", F.coalesce("_b", "b")).drop("_a", "_b")
+    pairs = staged(placed.filter("ca <> cb"), "open-pairs")
+    lacking = staged(_ends(pairs).join(star_ends, "id", "left_anti"), "lacking-ends")
+    sets = star_sets.unionByName(staged(shingle_sets(_only(texts, lacking), rule), "tree-sets"))
+    links = pairs.select("ca", "cb").limit(0)
+    merged = first.limit(0)
+    width = 2
+    while not pairs.isEmpty():
+        ends = pairs.withColumn("end", F.explode(F.array("a", "b")))
+        best = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("likely"), "a", "b"))
+        tried = staged(ends.withColumn("_n", best).filter(F.col("_n") <= width).select("a", "b").distinct(), "tried-pairs")
+        found = verified(tried, sets, rule).join(pairs, ["a", "b"]).select("ca", "cb")
+        links = staged(links.unionByName(found).distinct(), "links")
+        merged = staged(components(links.toDF("a", "b")), "merged")
+        rest = pairs.join(tried, ["a", "b"], "left_anti")
+        for end in ("ca", "cb"):
+            rest = rest.join(merged.toDF(end, "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        pairs = staged(rest.filter("ca <> cb"), "open-pairs")
+        width *= 8
+    every = sketched.select("id").distinct().join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    final = every.join(merged.toDF("component", "_to"), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return final, sketched.select("id", "n_shingles")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -309,7 +332,7 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _tree_pairs(homes: DataFrame, loose: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b), a < b, both under one home, at least one of them loose there, whose bound reaches the rule."""
+    """(a, b, likely), a < b, both under one home, at least one loose there, whose bound reaches the rule; ``likely`` is its Jaccard."""
     members = homes.join(points, "id")
     sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("all_cells"), F.count(F.lit(1)).alias("_n"))
     asks = loose.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("ask_cells"))
@@ -332,14 +355,15 @@ def _tree_pairs(homes: DataFrame, loose: DataFrame, points: DataFrame, rule: Rul
         asks = cell_rows["asks"].to_numpy()
         ids, sizes, vectors = cell_rows["id"].to_numpy(), cell_rows["n_shingles"].to_numpy(), _vectors(cell_rows["point"])
         if asks.all() or not asks.any():
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        q, r = CountTree(vectors[~asks], sizes[~asks], rule).search(vectors[asks], sizes[asks])
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "likely": pd.Series(dtype="float64")})
+        q, r, overlap = CountTree(vectors[~asks], sizes[~asks], rule).search(vectors[asks], sizes[asks])
         left, right = ids[asks][q], ids[~asks][r]
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        return pd.DataFrame({"a": low[low < high], "b": high[low < high]}).drop_duplicates()
+        likely = overlap / np.maximum(1, sizes[asks][q] + sizes[~asks][r] - overlap)
+        found = pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right), "likely": likely})
+        return found[found["a"] < found["b"]].drop_duplicates(["a", "b"])
 
-    met = rows.unionByName(asking).groupBy("home", "ask_cell", "all_cell").applyInPandas(search, "a long, b long")
-    return met.distinct()
+    met = rows.unionByName(asking).groupBy("home", "ask_cell", "all_cell").applyInPandas(search, "a long, b long, likely double")
+    return met.groupBy("a", "b").agg(F.max("likely").alias("likely"))
 
 
 def overlap_groups(texts: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -351,6 +375,5 @@ def overlap_groups(texts: DataFrame, rule: Rule = Rule()) -> DataFrame:
     the links of all of them. Repeated rows repeat in the result; other columns are left out. The join is exact up to
     collisions of 64-bit hashes.
     """
-    links, sketched = overlap_links(texts, rule)
-    found = staged(components(links), "components")
+    found, sketched = connect(texts, rule)
     return sketched.join(found, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
