@@ -201,7 +201,9 @@ def nearest_contours(contours: DataFrame, queries: DataFrame, k: int = 10, recal
     spark = contours.sparkSession
     rows, asked = usable(contours), usable(queries)
     total = rows.count()
-    drawn = rows.orderBy(uniform("id", 29), "id").limit(SAMPLE).select("f0_norm").toPandas()["f0_norm"]
+    # only about twice as many rows as are drawn take part in the ordering, whatever the table's size
+    known = rows.withColumn("_u", uniform("id", 29)).filter(F.col("_u") < min(1.0, 2.0 * SAMPLE / max(1, total)))
+    drawn = known.orderBy("_u", "id").limit(SAMPLE).select("f0_norm").toPandas()["f0_norm"]
     sample = _matrix(drawn) if len(drawn) else np.zeros((1, 1))
     model = spark.sparkContext.broadcast(fit_partitions(sample, total, recall))
 
