@@ -143,17 +143,19 @@ def fit_partitions(sample: np.ndarray, rows: int, recall: float = RECALL) -> Par
     return Partitioner(model.weights, probes)
 
 
-def usable(contours: DataFrame) -> DataFrame:
+def usable(contours: DataFrame, components: int | None = None) -> DataFrame:
     """(id, f0_norm as doubles) of contours with an id and a vector that is not null, not zero and finite throughout.
 
-    Vectors of another length than most have no distance to them and take no part either.
+    Vectors of another length than ``components``, or than most, have no distance to them and take no part either.
     """
     wide = contours.select("id", F.col("f0_norm").cast("array<double>").alias("f0_norm")).filter(
         "id IS NOT NULL AND f0_norm IS NOT NULL AND size(f0_norm) > 0 AND exists(f0_norm, x -> x <> 0)"
         " AND forall(f0_norm, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     )
-    sizes = wide.groupBy(F.size("f0_norm").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return wide.filter(F.size("f0_norm") == (sizes[0]["n"] if sizes else 0))
+    if components is None:
+        sizes = wide.groupBy(F.size("f0_norm").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        components = sizes[0]["n"] if sizes else 0
+    return wide.filter(F.size("f0_norm") == components)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -199,12 +201,13 @@ def nearest_contours(contours: DataFrame, queries: DataFrame, k: int = 10, recal
     non-finite vectors, vectors of unusual length and rows without id take no part; empty tables give an empty result.
     """
     spark = contours.sparkSession
-    rows, asked = usable(contours), usable(queries)
+    rows = usable(contours)
     total = rows.count()
     # only about twice as many rows as are drawn take part in the ordering, whatever the table's size
     known = rows.withColumn("_u", uniform("id", 29)).filter(F.col("_u") < min(1.0, 2.0 * SAMPLE / max(1, total)))
     drawn = known.orderBy("_u", "id").limit(SAMPLE).select("f0_norm").toPandas()["f0_norm"]
     sample = _matrix(drawn) if len(drawn) else np.zeros((1, 1))
+    asked = usable(queries, sample.shape[1] if len(drawn) else 0)
     model = spark.sparkContext.broadcast(fit_partitions(sample, total, recall))
 
     @F.pandas_udf("int")
