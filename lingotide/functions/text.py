@@ -44,16 +44,16 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp)
 
 
-def tokens_as_text(tokens: Column) -> Column:
-    """One character per token id (ids up to 31,999), so the built-in distance works on id lists."""
-    return F.array_join(
-        F.transform(tokens, lambda t: F.decode(F.unhex(F.hex(F.lit(0x4E00) + t)), "UTF-16BE")), ""
-    )
+def tokens_as_text(tokens: Column, known: Column) -> Column:
+    """One character per token: that of the token's place among ``known``, of which there may be 55,000."""
+    code = lambda t: F.lpad(F.hex(F.array_position(known, t) + 0xFF), 4, "0")
+    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(code(t)), "UTF-16BE")), "")
 
 
 def token_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance over token id lists."""
-    return F.levenshtein(tokens_as_text(ref), tokens_as_text(hyp))
+    """Levenshtein distance over lists of any token ids; only the distinct ids of the pair itself are numbered."""
+    known = F.array_distinct(F.concat(ref, hyp))
+    return F.levenshtein(tokens_as_text(ref, known), tokens_as_text(hyp, known))
 
 
 def error_rate(distance: Column, ref: Column, hyp: Column) -> Column:

@@ -22,8 +22,6 @@ BLOCK_ROWS = 1 << 16
 BAND_ROWS = 1 << 10
 # so many neighbouring blocks are summed up before their totals meet
 SPAN_BLOCKS = 1 << 12
-# keys up to this many rows may be aggregated in one piece
-GROUP_ROWS = 1 << 20
 
 
 def block_of(idx: str | Column, rows: int = BLOCK_ROWS) -> Column:
@@ -152,22 +150,12 @@ def runs(df: DataFrame, keys: Sequence[str], idx: str, flag: Column, rows: int =
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key; one number reaches the driver."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-
-
-def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, width: float, name: str, largest: int | None = None
-) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float, name: str) -> DataFrame:
     """Exact median per key: (keys, name).
 
-    While the largest key is small (counted here unless given) this is the built-in aggregate, whose
-    buffer grows with the key. Beyond that, equal values are counted before the shuffle, values are cut
-    into buckets of ``width``, and only the buckets that contain the middle ranks are sorted.
+    Equal values are counted before the shuffle, values are cut into buckets of ``width``, and only the buckets that
+    contain the middle ranks are sorted, so no buffer holds a key's values.
     """
-    if (largest_group(df, keys) if largest is None else largest) <= GROUP_ROWS:
-        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias(name))
     values = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_x"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lingotide.functions.draws import draw
 from lingotide.operators.blocks import block_of, number_rows
 from lingotide.operators.practice import PAIR
 from lingotide.session import staged
@@ -55,7 +56,7 @@ def select_next(
 ) -> DataFrame:
     """One pick per learner, pseudo-random among the n best; the same seed gives the same pick."""
     top = top_candidates(candidates, now, n, exclude)
-    pick = F.xxhash64("learner_id", "sequence_id", F.lit(seed))
+    pick = draw(seed, "learner_id", "sequence_id")
     best = top.groupBy("learner_id").agg(
         F.min_by(F.struct("sequence_id", "priority"), F.struct(pick.alias("h"), F.col("sequence_id"))).alias("p")
     )
@@ -127,8 +128,8 @@ def pick_by_level(requests: DataFrame, sequences: DataFrame, seed: int) -> DataF
     asked = requests.join(sizes, "level", "left").join(here, ["level", "current_id"], "left")
     skip = F.col("current_rank").isNotNull() & (F.col("size") > 1)
     span = F.when(skip, F.col("size") - 1).otherwise(F.col("size"))
-    draw = F.pmod(F.xxhash64("learner_id", F.lit(seed)), span)
-    rank = F.when(skip & (draw >= F.col("current_rank")), draw + 1).otherwise(draw)
+    nth = F.pmod(draw(seed, "learner_id"), span)
+    rank = F.when(skip & (nth >= F.col("current_rank")), nth + 1).otherwise(nth)
     return (
         asked.withColumn("rank", rank)
         .join(ranked, ["level", "rank"], "left")

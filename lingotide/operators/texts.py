@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingotide.functions import text as T
-from lingotide.operators.blocks import block_of, number_rows
+from lingotide.operators.blocks import number_sorted
 
 METHOD = "asr_cer_v1"
 
@@ -75,7 +75,9 @@ def normalize_generated(batches: DataFrame, start: int = 1) -> DataFrame:
     given = F.when(F.size(doc["sentences"]) > 0, doc["sentences"]).when(F.size(doc["items"]) > 0, doc["items"])
     whole = F.when(F.ltrim("response").startswith("["), as_list).otherwise(F.array(as_item))
     items = batches.select("batch_id", "language", F.posexplode(F.coalesce(given, whole)).alias("pos", "item"))
-    numbered = number_rows(items, [], ["batch_id", "pos"], block_of("batch_id", 256), "_no")
+    # a malformed response or an empty list has no item and takes no id
+    items = items.filter(F.col("item").isNotNull() & (F.to_json("item") != "{}"))
+    numbered = number_sorted(items, ["batch_id", "pos"], "_no")
     stripped = T.strip(F.coalesce("item.text", F.lit("")))
     chinese = F.lower("language").startswith("zh")
     return numbered.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lingotide.functions.draws import draw_sql
 from lingotide.operators import practice as P
 from lingotide.operators import selection as S
 from lingotide.plans.registry import query
@@ -228,9 +229,20 @@ def srt2_top(v: Views):
     return top.select("learner_id", "sequence_id", F.round("priority", 6).alias("priority"), "place")
 
 
-@query("srt2_select_next")
+@query(
+    "srt2_select_next",
+    f"""
+WITH {PROGRESS_SQL},
+cur AS (SELECT learner_id, arg_max(sequence_id, arrival_seq) AS sequence_id FROM attempts GROUP BY 1),
+ranked AS (SELECT learner_id, sequence_id, {PRIORITY_SQL} AS priority FROM progress WHERE tracked),
+top AS (SELECT * FROM ranked ANTI JOIN cur USING (learner_id, sequence_id)
+  QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY priority DESC, sequence_id) <= 5)
+SELECT learner_id, sequence_id, round(priority, 6) AS priority FROM top
+QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY {draw_sql(42, "learner_id", "sequence_id")}, sequence_id) = 1""",
+)
 def srt2(v: Views):
-    return S.select_next(_progress(v).filter("tracked"), NOW, 42, 5, _current(v))
+    picked = S.select_next(_progress(v).filter("tracked"), NOW, 42, 5, _current(v))
+    return picked.select("learner_id", "sequence_id", F.round("priority", 6).alias("priority"))
 
 
 QUEUE_SQL = f"""
@@ -268,7 +280,19 @@ def srt3_next(v: Views):
     return S.next_from_queue(_queue(v), _current(v))
 
 
-@query("srt4_pick_by_level")
+@query(
+    "srt4_pick_by_level",
+    f"""
+WITH cur AS (SELECT learner_id, arg_max(sequence_id, arrival_seq) AS current_id FROM attempts GROUP BY 1),
+req AS (SELECT learner_id, coalesce(level, 1) AS level, current_id FROM cur JOIN sequences ON sequence_id = current_id),
+r AS (SELECT level, sequence_id, row_number() OVER (PARTITION BY level ORDER BY sequence_id) - 1 AS rank, count(*) OVER (PARTITION BY level) AS size
+  FROM sequences WHERE level IS NOT NULL),
+a AS (SELECT q.*, s.size, h.rank AS here, h.rank IS NOT NULL AND s.size > 1 AS skip FROM req q
+  LEFT JOIN (SELECT DISTINCT level, size FROM r) s USING (level) LEFT JOIN r h ON h.level = q.level AND h.sequence_id = q.current_id),
+d AS (SELECT *, {draw_sql(42, "learner_id")} % (size - CASE WHEN skip THEN 1 ELSE 0 END) AS n FROM a)
+SELECT d.learner_id, d.level, d.current_id, r.sequence_id FROM d
+LEFT JOIN r ON r.level = d.level AND r.rank = n + CASE WHEN skip AND n >= here THEN 1 ELSE 0 END""",
+)
 def srt4(v: Views):
     requests = _current(v).join(v.sequences, "sequence_id").select(
         "learner_id", F.coalesce("level", F.lit(1)).alias("level"), F.col("sequence_id").alias("current_id")

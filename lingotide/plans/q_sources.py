@@ -9,7 +9,8 @@ import struct
 
 from pyspark.sql import functions as F
 
-from lingotide.operators.blocks import block_of, merge_rows
+from lingotide.functions.draws import draw_sql
+from lingotide.operators.blocks import block_of
 from lingotide.operators.corpus import expand_samples, latest_entries, synth_stats
 from lingotide.operators.syllables import apply_sandhi
 from lingotide.plans.registry import query
@@ -105,10 +106,11 @@ def _le(number: str) -> str:
 
 
 def _wave(samples: str, rate: int = 16000) -> str:
-    """SQL for the header bytes of a mono 16-bit wave file."""
-    form = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + b"data"
+    """SQL for the header bytes of a mono 16-bit wave file, with a note before the samples that names their chunk."""
+    note = b"LIST" + struct.pack("<I", 12) + b"INFOfmt data"
+    form = b"WAVE" + note + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16) + note + b"data"
     riff, form = b"RIFF".hex(), form.hex()
-    return f"unhex(concat('{riff}', {_le(f'36 + 2 * ({samples})')}, '{form}', {_le(f'2 * ({samples})')}))"
+    return f"unhex(concat('{riff}', {_le(f'76 + 2 * ({samples})')}, '{form}', {_le(f'2 * ({samples})')}))"
 
 
 @query(
@@ -154,15 +156,14 @@ def snk5(v: Views):
     "src7_lexicon_from_files",
     """
 SELECT voice_id, base, tone, CAST(floor(160.0E0 * duration_ms / 16000 * 1000) AS INT) AS duration_ms, concat(voice_id, '/tone', tone, '/', base, '.wav') AS audio_path
-FROM lexicon WHERE voice_id IN ('small', 'promo', 'large') AND tone IN (1, 3, 4)""",
+FROM lexicon""",
 )
 def src7(v: Views):
     files = v.lexicon.select(
         F.concat(F.lit("lexicon/"), "voice_id", F.lit("/tone"), "tone", F.lit("/"), "base", F.lit(".wav")).alias("relative"),
         F.expr(_wave("160 * duration_ms")).alias("content"),
     )
-    voices = v.lexicon.select("voice_id").distinct().filter("voice_id IN ('small', 'promo', 'large')")
-    return L.lexicon_from_files(A.parse_audio(files), voices, [1, 3, 4])
+    return L.lexicon_from_files(A.parse_audio(files), v.lexicon.select("voice_id").distinct())
 
 
 def _synth_items(v: Views):
@@ -238,15 +239,17 @@ def src10(v: Views):
 
 
 def _by_source(v: Views):
-    return [(s, v.texts.filter(F.col("source") == s).select("id", "text")) for s in ("src1", "src2", "src3", "elsewhere")]
+    return [(s, v.texts.filter(F.col("source") == s).select("id", "text")) for s in [*KNOWN, "elsewhere"]]
 
 
-KNOWN = {"src1": CO.NATIVE, "src2": CO.NATIVE, "src3": CO.TTS}
+# all sources of the documents; every third counts as synthetic speech
+KNOWN = {f"src{k}": CO.TTS if k % 3 == 0 else CO.NATIVE for k in range(20)}
+DOMAIN_SQL = "CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN 1 ELSE 0 END AS domain"
 
 
 @query(
     "src11_load_sources",
-    """SELECT id, text, source, CASE source WHEN 'src3' THEN 1 ELSE 0 END AS domain FROM texts WHERE source IN ('src1', 'src2', 'src3')""",
+    f"SELECT id, text, source, {DOMAIN_SQL} FROM texts",
 )
 def src11(v: Views):
     return CO.load_sources(_by_source(v), KNOWN)
@@ -254,8 +257,8 @@ def src11(v: Views):
 
 @query(
     "src11_load_sources_capped",
-    """
-SELECT id, source, CASE source WHEN 'src3' THEN 1 ELSE 0 END AS domain FROM texts WHERE source IN ('src1', 'src2', 'src3')
+    f"""
+SELECT id, source, {DOMAIN_SQL} FROM texts
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 7""",
 )
 def src11_capped(v: Views):
@@ -267,13 +270,13 @@ def src11_capped(v: Views):
     "src12_source_info",
     r"""
 WITH c AS (SELECT source, lang AS split, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY 1, 2),
-d AS (SELECT s AS source, concat('corpus ', s) AS description, l AS split FROM (VALUES ('src1'), ('src7'), ('elsewhere')) a(s), (VALUES ('en'), ('fr'), ('zh')) b(l))
+d AS (SELECT s AS source, concat('corpus ', s) AS description, l AS split FROM (SELECT DISTINCT source AS s FROM documents UNION ALL SELECT 'elsewhere') a, (VALUES ('en'), ('fr'), ('de'), ('es'), ('zh')) b(l))
 SELECT d.source, d.split, description, n IS NOT NULL AS available, coalesce(n, 0) AS n_sentences FROM d LEFT JOIN c ON c.source = d.source AND c.split = d.split""",
 )
 def src12(v: Views):
-    declared = [(s, f"corpus {s}") for s in ("src1", "src7", "elsewhere")]
+    declared = [(s, f"corpus {s}") for s in [*KNOWN, "elsewhere"]]
     rows = v.texts.withColumnRenamed("language", "split")
-    return CO.source_info(rows, declared, ["en", "fr", "zh"])
+    return CO.source_info(rows, declared, ["en", "fr", "de", "es", "zh"])
 
 
 @query(
@@ -314,31 +317,33 @@ def snk4(v: Views):
 
 @query(
     "set2_train_split",
-    """
-SELECT 'train' AS split, CAST(floor(count(*) * 0.8E0) AS BIGINT) AS n, CAST(floor(count(*) * 0.8E0) AS BIGINT) AS n_distinct FROM texts
-UNION ALL SELECT 'validation', count(*) - CAST(floor(count(*) * 0.8E0) AS BIGINT), count(*) - CAST(floor(count(*) * 0.8E0) AS BIGINT) FROM texts
-UNION ALL SELECT 'test', count(*), count(*) FROM benchmark""",
+    f"""
+SELECT id, CASE WHEN row_number() OVER (ORDER BY {draw_sql(42, "id")}, id) <= floor(count(*) OVER () * 0.8E0) THEN 'train' ELSE 'validation' END AS split FROM texts
+UNION ALL SELECT item_id, 'test' FROM benchmark""",
 )
 def set2(v: Views):
     split = CO.train_split(v.texts, "id").select("id", "text", "split")
     whole = CO.add_test_split(split, v.table("benchmark").select(F.col("item_id").alias("id"), "text"))
-    return whole.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_distinct"))
+    return whole.select("id", "split")
 
 
 @query(
     "jn2_join_transcripts",
-    """SELECT utt_id, speaker, u.n_samples, text FROM utterances u JOIN (SELECT doc_id AS utt_id, text FROM documents WHERE lang <> 'en') t USING (utt_id)""",
+    """SELECT utt_id, speaker, u.n_samples, text FROM utterances u JOIN (SELECT doc_id AS utt_id, text FROM documents) t USING (utt_id)""",
 )
 def jn2(v: Views):
-    transcripts = v.table("documents").filter("lang <> 'en'").select(F.col("doc_id").alias("utt_id"), "text")
+    transcripts = v.table("documents").select(F.col("doc_id").alias("utt_id"), "text")
     return CO.join_transcripts(v.utterances, transcripts).select("utt_id", "speaker", "n_samples", "text")
 
 
-@query("win21_stratified_sample", "SELECT count(*) FILTER (n <= 3) AS have_short, CAST(30 AS BIGINT) AS n_sample, CAST(30 AS BIGINT) AS n_distinct FROM (SELECT len(words) AS n FROM sentences)")
+@query(
+    "win21_stratified_sample",
+    f"""
+WITH r AS (SELECT sentence_id, CASE WHEN len(words) <= 3 THEN 0 WHEN len(words) <= 6 THEN 1 ELSE 2 END AS stratum, {draw_sql(42, "sentence_id")} AS h FROM sentences),
+k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, sentence_id) <= 10 AS first FROM r)
+SELECT sentence_id, stratum FROM k ORDER BY NOT first, CASE WHEN first THEN stratum END, h, sentence_id LIMIT 30""",
+)
 def win21(v: Views):
-    """Size and distinctness of a 30-sentence sample, next to how many short sentences there are."""
+    """A 30-sentence sample over the word-count strata."""
     rows = v.sentences.select("sentence_id", F.size("words").alias("n"))
-    picked = CO.stratified_sample(rows, "sentence_id", F.col("n"), 30)
-    facts = picked.agg(F.count(F.lit(1)).alias("n_sample"), F.count_distinct("sentence_id").alias("n_distinct"))
-    short = rows.agg(F.count_if(F.col("n") <= 3).alias("have_short"))
-    return merge_rows(short, facts)
+    return CO.stratified_sample(rows, "sentence_id", F.col("n"), 30).select("sentence_id", "stratum")

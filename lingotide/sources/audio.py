@@ -5,38 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_BYTES = 4096
+# chunks walked before the number of steps is taken from the file's size
+FEW_CHUNKS = 32
 
 
-def _int(text: Column, at: Column, size: int) -> Column:
-    """Little-endian unsigned integer at a byte offset (from 0) of the one-character-per-byte text."""
-    high_first = F.array(*[F.lit(k) for k in reversed(range(size))])
-    byte = lambda k: F.ascii(F.substring(text, at + k + 1, F.lit(1)))
-    return F.aggregate(high_first, F.lit(0).cast("long"), lambda acc, k: acc * 256 + byte(k))
+def _int(content: Column, at: Column, size: int) -> Column:
+    """Little-endian unsigned integer at a byte offset (from 0)."""
+    digits = F.hex(F.substring(content, at + 1, F.lit(size)))
+    high_first = [F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]
+    return F.conv(F.concat(*high_first), 16, 10).cast("long")
 
 
-def _chunk(text: Column, name: str) -> Column:
-    """Byte offset just after a chunk's name and size, or null."""
-    at = F.instr(text, name)
-    return F.when(at > 0, at + 7)
+def _chunks(content: Column, steps: Column) -> Column:
+    """Places of the ``fmt`` and ``data`` chunks, found by going from chunk to chunk by their sizes."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(12).cast("long").alias("at"), none.alias("fmt"), none.alias("data"), F.lit(False).alias("over"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"].cast("int")
+        name, size = F.substring(content, at + 1, F.lit(4)).cast("string"), _int(content, at + 4, 4)
+        inside = ~acc["over"] & (acc["at"] + 8 <= F.length(content))
+        fmt = F.when(inside & (name == "fmt "), acc["at"] + 8).otherwise(acc["fmt"])
+        data = F.when(inside & (name == "data") & acc["data"].isNull(), acc["at"] + 8).otherwise(acc["data"])
+        # chunks are padded to an even size
+        return F.struct(
+            F.when(inside, acc["at"] + 8 + size + size % 2).otherwise(acc["at"]).alias("at"),
+            fmt.alias("fmt"), data.alias("data"), (~inside | (fmt.isNotNull() & data.isNotNull())).alias("over"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)
 
 
 def parse_audio(files: DataFrame) -> DataFrame:
-    """Add sample_rate, channels, sample_width and n_frames from ``content``; unreadable files have 0 frames."""
-    # one character per byte, so chunk names are found at their byte offsets
-    text = F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1")
-    rows = files.withColumn("_h", text)
-    rows = rows.withColumns({"_fmt": _chunk(F.col("_h"), "fmt "), "_data": _chunk(F.col("_h"), "data")})
-    wave = F.col("_h").startswith("RIFF") & F.col("_fmt").isNotNull() & F.col("_data").isNotNull()
-    align = _int(F.col("_h"), F.col("_fmt") + 12, 2)
-    rows = rows.withColumns({"_bytes": _int(F.col("_h"), F.col("_data") - 4, 4), "_align": align})
-    known = wave & (F.col("_align") > 0)
+    """Add sample_rate, channels, sample_width and n_frames from ``content``; unreadable files have 0 frames.
+
+    Other chunks (LIST, JUNK, ...) of any size and content may stand before the two that count.
+    """
+    content = F.col("content")
+    riff = (F.substring(content, 1, 4).cast("string") == "RIFF") & (F.substring(content, 9, 4).cast("string") == "WAVE")
+    # a generated row holds the places, so that what uses them several times does not walk again
+    few = F.when(F.coalesce(riff, F.lit(False)), _chunks(content, F.lit(FEW_CHUNKS)))
+    rows = files.withColumn("_few", F.explode(F.array(few)))
+    # files with very many chunks are walked to their end
+    full = F.when(F.col("_few.over"), F.col("_few")).otherwise(_chunks(content, (F.length(content) / 8).cast("int") + 1))
+    rows = rows.withColumn("_c", F.explode(F.array(F.when(F.col("_few").isNotNull(), full))))
+    fmt, data = F.col("_c.fmt").cast("int"), F.col("_c.data").cast("int")
+    rows = rows.withColumns({"_bytes": _int(content, data - 4, 4), "_align": _int(content, fmt + 12, 2)})
+    known = F.coalesce(fmt.isNotNull() & data.isNotNull() & (F.col("_align") > 0), F.lit(False))
     frames = F.expr("_bytes div _align")
     return rows.select(
         *[c for c in files.columns if c != "content"],
-        F.when(known, _int(F.col("_h"), F.col("_fmt") + 4, 4).cast("int")).alias("sample_rate"),
-        F.when(known, _int(F.col("_h"), F.col("_fmt") + 2, 2).cast("int")).alias("channels"),
-        F.when(known, (_int(F.col("_h"), F.col("_fmt") + 14, 2) / 8).cast("int")).alias("sample_width"),
+        F.when(known, _int(content, fmt + 4, 4).cast("int")).alias("sample_rate"),
+        F.when(known, _int(content, fmt + 2, 2).cast("int")).alias("channels"),
+        F.when(known, (_int(content, fmt + 14, 2) / 8).cast("int")).alias("sample_width"),
         F.coalesce(F.when(known, frames), F.lit(0)).alias("n_frames"),
     )
 

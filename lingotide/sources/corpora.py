@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lingotide.functions.units import HOP, WINDOW
-from lingotide.operators.blocks import number_rows
+from lingotide.functions.draws import draw
+from lingotide.operators.blocks import number_rows, number_sorted
 
 
 def join_transcripts(files: DataFrame, transcripts: DataFrame, key: str = "utt_id") -> DataFrame:
@@ -72,7 +73,7 @@ def train_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42)
     The hash at the cut is found by counting leading bits, 16 at a time within the bucket that holds
     it, so the rows themselves are labelled in one pass without a shuffle.
     """
-    hashed = F.xxhash64(key, F.lit(seed))
+    hashed = draw(seed, key)
     hashes = df.select(hashed.alias("_h"))
     need, bucket = int(df.count() * fraction), None
     if need == 0:
@@ -103,7 +104,7 @@ def stratified_sample(df: DataFrame, key: str, words: Column, n: int, seed: int
     made among those.
     """
     stratum = F.when(words <= 3, 0).when(words <= 6, 1).otherwise(2)
-    rows = df.withColumn("stratum", stratum).withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    rows = df.withColumn("stratum", stratum).withColumn("_h", draw(seed, key))
     strata = [rows.filter(F.col("stratum") == k).orderBy("_h", key).limit(n) for k in range(3)]
     candidates = strata[0].union(strata[1]).union(strata[2])
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy("_h", key))
@@ -119,6 +120,10 @@ def assign_shards(utts: DataFrame, size: int, order: Sequence[str], block: Colum
 
 
 def write_shards(utts: DataFrame, path: str, size: int = 1000, order: Sequence[str] = ("speaker", "utt_id")) -> None:
-    """Write utterances in order as files of at most ``size`` rows, replacing earlier output."""
-    ranged = utts.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.write.mode("overwrite").option("maxRecordsPerFile", size).parquet(path)
+    """Write utterances in order as shards of exactly ``size`` rows, the last one partial, replacing earlier output.
+
+    Each shard is one folder ``shard_id=<n>`` with one file: all its rows are dealt to one task.
+    """
+    numbered = number_sorted(utts, list(order), "_no").withColumn("shard_id", F.floor(F.col("_no") / size))
+    dealt = numbered.drop("_no").repartition("shard_id").sortWithinPartitions("shard_id", *order)
+    dealt.write.mode("overwrite").partitionBy("shard_id").parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.operators.blocks import number_rows
+from lingotide.operators.blocks import number_sorted
 from lingotide.operators.corpus import latest_entries
 from lingotide.sources.audio import parse_audio
 
@@ -29,7 +29,7 @@ def read_lexicon_v1(spark: SparkSession, path: str) -> DataFrame:
 
 def write_lexicon(entries: DataFrame, path: str, max_entries: int = 1000, order: Sequence[str] = KEYS) -> None:
     """Write entries as JSON documents of at most ``max_entries`` each, one per file, in ``order``."""
-    numbered = number_rows(entries, [], list(order), F.col(order[0]), "_no")
+    numbered = number_sorted(entries, list(order), "_no")
     entry = F.struct(F.col("base").alias("pinyin"), "tone", "voice_id", "audio_path", "duration_ms")
     pairs = F.collect_list(F.struct(F.col("_no").alias("n"), entry.alias("e")))
     docs = numbered.groupBy(F.floor(F.col("_no") / max_entries).alias("part")).agg(
@@ -38,8 +38,8 @@ def write_lexicon(entries: DataFrame, path: str, max_entries: int = 1000, order:
     docs.select(F.lit("1.0").alias("version"), "part", "entries").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
-def lexicon_from_files(files: DataFrame, voices: DataFrame, tones: Sequence[int] = (0, 1, 2, 3, 4)) -> DataFrame:
-    """Lexicon of ``<voice>/tone<N>/<syllable>.wav`` files of the declared voices and tones.
+def lexicon_from_files(files: DataFrame, voices: DataFrame, tones: Sequence[int] | None = (0, 1, 2, 3, 4)) -> DataFrame:
+    """Lexicon of ``<voice>/tone<N>/<syllable>.wav`` files of the declared voices and tones (``None``: any tone).
 
     ``files`` has relative, n_frames and sample_rate; unreadable files have duration 0.
     """
@@ -52,7 +52,8 @@ def lexicon_from_files(files: DataFrame, voices: DataFrame, tones: Sequence[int]
         F.concat(part[0], F.lit("/tone"), part[1], F.lit("/"), part[2], F.lit(".wav")).alias("audio_path"),
         F.coalesce((F.col("n_frames") / F.col("sample_rate") * 1000).cast("int"), F.lit(0)).alias("duration_ms"),
     )
-    return rows.filter(F.col("tone").isin(list(tones))).join(voices.select("voice_id"), "voice_id", "left_semi")
+    declared = rows if tones is None else rows.filter(F.col("tone").isin(list(tones)))
+    return declared.join(voices.select("voice_id"), "voice_id", "left_semi")
 
 
 def read_lexicon_v2(spark: SparkSession, root: str) -> DataFrame:
@@ -62,7 +63,7 @@ def read_lexicon_v2(spark: SparkSession, root: str) -> DataFrame:
     tones = meta.select(F.explode(F.coalesce("tones", F.array(*[F.lit(t) for t in range(5)]))).alias("tone"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
     parsed = parse_audio(files.select(F.col("path").alias("relative"), "content"))
-    return lexicon_from_files(parsed, voices, range(100)).join(tones, "tone", "left_semi").select(*KEYS, "audio_path", "duration_ms")
+    return lexicon_from_files(parsed, voices, None).join(tones, "tone", "left_semi").select(*KEYS, "audio_path", "duration_ms")
 
 
 def read_lexicon(spark: SparkSession, root: str) -> DataFrame:

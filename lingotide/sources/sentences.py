@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingotide.operators.blocks import number_rows
+from lingotide.operators.blocks import number_sorted
+from lingotide.session import staged
 
 HEADER = ["schema_version", "dataset_id", "language", "generated_at"]
 
@@ -65,7 +66,10 @@ def documents(items: DataFrame, max_items: int = 1000) -> DataFrame:
             struct.append(column.cast(field.dataType).alias(field.name))
     # header fields may be missing, so datasets are told apart by the header as text
     keyed = items.withColumn("_header", F.to_json(F.struct(*HEADER)))
-    numbered = number_rows(keyed, ["_header"], ["id"], F.substring("id", 1, 7), "_no")
+    # numbered along the whole table, so a dataset of any size and any kind of ids is many shares
+    placed = staged(number_sorted(keyed, ["_header", "id"], "_at"), "numbered-items")
+    firsts = placed.groupBy("_header").agg(F.min("_at").alias("_first"))
+    numbered = placed.join(firsts, "_header").withColumn("_no", F.col("_at") - F.col("_first")).drop("_at", "_first")
     return (
         numbered.groupBy("_header", F.floor(F.col("_no") / max_items).alias("_doc"))
         .agg(*[F.first(c).alias(c) for c in HEADER], _in_order(struct))
