@@ -242,7 +242,9 @@ def shingle_sets(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link; only the sets of their ends move."""
+    ends = staged(_ends(pairs), "pair-ends")
+    sets = sets.join(ends, "id", "left_semi")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(
         sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"
     )
