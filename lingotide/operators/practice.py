@@ -58,15 +58,15 @@ def activity_grid(attempts: DataFrame, today: str) -> DataFrame:
     """52 x 7 days per learner from the Monday on or before today - 364, with intensity levels.
 
     The grid ends before the week of ``today``; the intensity scale is the learner's busiest day overall.
+    A learner's counts within the grid, at most 364, are one map, so the days are filled in without another join.
     """
-    daily = daily_attempts(attempts)
     start = F.to_date(F.date_trunc("week", F.date_sub(_date(today), 364)))
-    learners = daily.groupBy("learner_id").agg(F.max("n_attempts").alias("busiest"))
-    grid = learners.select(
-        "learner_id", "busiest", F.explode(F.sequence(start, F.date_add(start, 363))).alias("day")
+    shown = F.when(F.col("day").between(start, F.date_add(start, 363)), F.struct("day", "n_attempts"))
+    learners = daily_attempts(attempts).groupBy("learner_id").agg(
+        F.max("n_attempts").alias("busiest"), F.map_from_entries(F.collect_list(shown)).alias("counts")
     )
-    filled = grid.join(daily, ["learner_id", "day"], "left")
-    count = F.coalesce(F.col("n_attempts"), F.lit(0))
+    filled = learners.select("learner_id", "busiest", "counts", F.explode(F.sequence(start, F.date_add(start, 363))).alias("day"))
+    count = F.coalesce(F.try_element_at("counts", F.col("day")), F.lit(0))
     return filled.select(
         "learner_id",
         "day",
@@ -140,22 +140,31 @@ def retain_latest(attempts: DataFrame, n: int = 50) -> DataFrame:
     return recent_attempts(attempts, n).drop("recency")
 
 
-def progress_state(attempts: DataFrame, toggles: DataFrame | None = None) -> DataFrame:
-    """Progress per learner and sequence after replaying attempts and track toggles in arrival order.
+def progress_state(attempts: DataFrame, toggles: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """Progress per learner and sequence after replaying attempts, track toggles and set events in arrival order.
 
-    An attempt always tracks; a toggle flips. So only the parity of the toggles after the last
-    attempt matters. The state fields follow arrival, not the graded time.
+    An attempt always tracks, a set event (``sets`` with a boolean ``tracked``) tracks or not, a toggle flips. So only
+    the last attempt or set event and the parity of the toggles after it matter. The state fields follow arrival, not
+    the graded time.
     """
     state = attempts.groupBy(*PAIR).agg(
         F.max_by(F.struct("graded_at", "rating", "arrival_seq"), "arrival_seq").alias("last"),
         F.count(F.lit(1)).alias("attempt_count"),
     )
+    if sets is not None:
+        given = sets.groupBy(*PAIR).agg(F.max(F.struct("arrival_seq", "tracked")).alias("given"))
+        state = state.join(given, PAIR, "full")
+    else:
+        state = state.withColumn("given", F.lit(None).cast("struct<arrival_seq:bigint,tracked:boolean>"))
+    later = F.col("last").isNull() | (F.col("given.arrival_seq") > F.col("last.arrival_seq"))
+    state = state.withColumn("base", F.when(F.col("given").isNotNull() & later, F.col("given.tracked")).otherwise(F.col("last").isNotNull()))
     if toggles is None:
         joined = state.withColumn("flips", F.lit(0))
     else:
+        settled = F.greatest(F.col("last.arrival_seq"), F.col("given.arrival_seq"))
         flips = (
             toggles.select(*PAIR, "arrival_seq")
-            .join(state.select(*PAIR, F.col("last.arrival_seq").alias("settled")), PAIR, "left")
+            .join(state.select(*PAIR, settled.alias("settled")), PAIR, "left")
             .groupBy(*PAIR)
             .agg(F.count_if(F.col("settled").isNull() | (F.col("arrival_seq") > F.col("settled"))).alias("flips"))
         )
@@ -163,7 +172,7 @@ def progress_state(attempts: DataFrame, toggles: DataFrame | None = None) -> Dat
     odd = F.coalesce(F.col("flips"), F.lit(0)) % 2 == 1
     return joined.select(
         *PAIR,
-        F.when(F.col("last").isNull(), odd).otherwise(~odd).alias("tracked"),
+        (F.coalesce("base", F.lit(False)) != odd).alias("tracked"),
         F.col("last.graded_at").alias("last_attempt_at"),
         F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"),
         F.col("last.rating").alias("last_rating"),

@@ -129,6 +129,23 @@ def win2(v: Views):
     return _progress(v)
 
 
+@query(
+    "win2_progress_with_sets",
+    """
+WITH ev AS (
+  SELECT learner_id, sequence_id, arrival_seq, true AS sets, NULL::BOOLEAN AS flips FROM attempts WHERE rating <> 'easy'
+  UNION ALL SELECT learner_id, sequence_id, arrival_seq, arrival_seq % 3 > 0, NULL FROM attempts WHERE rating = 'easy'
+  UNION ALL SELECT learner_id, sequence_id, arrival_seq, NULL, true FROM toggles),
+s AS (SELECT learner_id, sequence_id, max(arrival_seq) FILTER (sets IS NOT NULL) AS settled, arg_max(sets, arrival_seq) FILTER (sets IS NOT NULL) AS base FROM ev GROUP BY 1, 2),
+f AS (SELECT ev.learner_id, ev.sequence_id, count(*) FILTER (flips AND (settled IS NULL OR arrival_seq > settled)) AS n FROM ev JOIN s USING (learner_id, sequence_id) GROUP BY 1, 2)
+SELECT s.learner_id, s.sequence_id, coalesce(base, false) <> (n % 2 = 1) AS tracked FROM s JOIN f USING (learner_id, sequence_id)""",
+)
+def win2_sets(v: Views):
+    """Attempts rated easy are read as set events, the others as attempts."""
+    sets = v.attempts.filter("rating = 'easy'").select(*P.PAIR, "arrival_seq", (F.col("arrival_seq") % 3 > 0).alias("tracked"))
+    return P.progress_state(v.attempts.filter("rating <> 'easy'"), v.toggles, sets).select(*P.PAIR, "tracked")
+
+
 @query(
     "win3_recent_attempts",
     """
