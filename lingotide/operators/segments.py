@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,31 +177,48 @@ def detect_segments(frames: DataFrame, key: str, n_samples: DataFrame, block: in
     )
 
 
-def _merge_shortest(n_expected: int, key: str):
+def _merge_shortest(key: str):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start_sample")
-        spans = list(zip(pdf["start_sample"], pdf["end_sample"]))
-        while len(spans) > max(n_expected, 1):
-            lengths = [b - a for a, b in spans]
-            at = lengths.index(min(lengths))
-            left = min(at, len(spans) - 2)
-            spans[left:left + 2] = [(spans[left][0], spans[left + 1][1])]
-        return pd.DataFrame(
-            {key: pdf[key].iloc[0], "seg_no": range(len(spans)), "start_sample": [a for a, _ in spans], "end_sample": [b for _, b in spans]}
-        )
+        start, end = pdf["start_sample"].tolist(), pdf["end_sample"].tolist()
+        left, wanted = len(start), max(int(pdf["_wanted"].iloc[0]), 1)
+        before, after = list(range(-1, left - 1)), [*range(1, left), -1]
+        # the shortest of all, the earliest among equals; entries of spans that have changed since are skipped
+        heap = [(b - a, a, i) for i, (a, b) in enumerate(zip(start, end))]
+        heapq.heapify(heap)
+        alive = [True] * left
+        while left > wanted:
+            length, _, at = heapq.heappop(heap)
+            if not alive[at] or length != end[at] - start[at]:
+                continue
+            first = at if after[at] >= 0 else before[at]
+            gone = after[first]
+            end[first], after[first] = end[gone], after[gone]
+            if after[gone] >= 0:
+                before[after[gone]] = first
+            alive[gone] = False
+            left -= 1
+            heapq.heappush(heap, (end[first] - start[first], start[first], first))
+        kept = [i for i, there in enumerate(alive) if there]
+        return pd.DataFrame({
+            key: pdf[key].iloc[0], "seg_no": range(len(kept)), "start_sample": [start[i] for i in kept], "end_sample": [end[i] for i in kept],
+        })
 
     return merge
 
 
 def silence_segments(
-    frames: DataFrame, key: str, n_samples: DataFrame, n_expected: int, block: int = BLOCK_ROWS
+    frames: DataFrame, key: str, n_samples: DataFrame, n_expected: int | str, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Detected segments, the shortest merged with the next (or, when last, the previous) until n are left.
 
-    Detection runs in Spark; only the segment list of a recording reaches the sequential merge.
+    ``n_expected`` is a number, or a column of ``n_samples`` with each recording's own number. Detection runs in Spark;
+    only the segment list of a recording reaches the sequential merge, which takes time in its length times a logarithm.
     """
     found = detect_segments(frames, key, n_samples, block)
+    if isinstance(n_expected, str):
+        found = found.join(n_samples.select(key, F.col(n_expected).alias("_wanted")), key)
+    else:
+        found = found.withColumn("_wanted", F.lit(n_expected))
     kind = found.schema[key].dataType.simpleString()
-    return found.groupBy(key).applyInPandas(
-        _merge_shortest(n_expected, key), f"{key} {kind}, seg_no int, start_sample long, end_sample long"
-    )
+    return found.groupBy(key).applyInPandas(_merge_shortest(key), f"{key} {kind}, seg_no int, start_sample long, end_sample long")

@@ -175,25 +175,37 @@ def _lengths(v: Views):
     return v.frame_targets.select("utt_id", (F.col("n_frames") * U.HOP + 240).alias("n_samples"))
 
 
-@query(
-    "win17_detect_segments",
-    f"""
-WITH q AS (SELECT utt_id, frame_idx, {QUIET} AS energy FROM frames),
+DETECT_SQL = f"""q AS (SELECT utt_id, frame_idx, {QUIET} AS energy FROM frames),
 s AS (SELECT utt_id, frame_idx, sum(energy) OVER (PARTITION BY utt_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS e FROM q),
 t AS (SELECT utt_id, max(e) AS top, max(frame_idx) + 1 AS n FROM s GROUP BY 1),
 a AS (SELECT utt_id, frame_idx, frame_idx - lag(frame_idx) OVER (PARTITION BY utt_id ORDER BY frame_idx) AS jump FROM s JOIN t USING (utt_id) WHERE e > 0.02E0 * top),
 g AS (SELECT *, sum(CASE WHEN jump - 1 < 10 THEN 0 ELSE 1 END) OVER (PARTITION BY utt_id ORDER BY frame_idx) AS seg_no FROM a),
-m AS (SELECT utt_id, seg_no, min(frame_idx) AS a, max(frame_idx) AS b FROM g GROUP BY 1, 2)
-SELECT utt_id, CAST(seg_no AS BIGINT) AS seg_no, CAST(a * 160 AS BIGINT) AS start_sample, CAST(CASE WHEN n - 1 - b < 10 THEN n * 160 + 240 ELSE b * 160 + 400 END AS BIGINT) AS end_sample
-FROM m JOIN t USING (utt_id) WHERE n - 1 - b < 10 OR b > a""",
-)
+m AS (SELECT utt_id, seg_no, min(frame_idx) AS a, max(frame_idx) AS b FROM g GROUP BY 1, 2),
+found AS (SELECT utt_id, CAST(seg_no AS BIGINT) AS seg_no, CAST(a * 160 AS BIGINT) AS start_sample, CAST(CASE WHEN n - 1 - b < 10 THEN n * 160 + 240 ELSE b * 160 + 400 END AS BIGINT) AS end_sample
+FROM m JOIN t USING (utt_id) WHERE n - 1 - b < 10 OR b > a)"""
+
+
+@query("win17_detect_segments", f"WITH {DETECT_SQL} SELECT * FROM found")
 def win17_detect(v: Views):
     return SG.detect_segments(_bursts(v), "utt_id", _lengths(v))
 
 
-@query("win17_silence_segments")
+@query(
+    "win17_silence_segments",
+    f"""
+WITH RECURSIVE {DETECT_SQL},
+lists AS (SELECT utt_id, 1 + utt_id % 3 AS wanted, list({{'a': start_sample, 'b': end_sample}} ORDER BY start_sample) AS s FROM found GROUP BY utt_id),
+steps(utt_id, wanted, s) AS (SELECT * FROM lists UNION ALL
+  SELECT utt_id, wanted, s[1:l - 1] || [{{'a': s[l].a, 'b': s[l + 1].b}}] || s[l + 2:] FROM (
+    SELECT utt_id, wanted, s, least(list_position(lens, list_min(lens)), len(s) - 1) AS l FROM (
+      SELECT *, list_transform(s, lambda x: x.b - x.a) AS lens FROM steps WHERE len(s) > wanted))),
+done AS (SELECT utt_id, s FROM steps WHERE len(s) <= wanted)
+SELECT utt_id, CAST(i - 1 AS INT) AS seg_no, s[i].a AS start_sample, s[i].b AS end_sample FROM (SELECT utt_id, s, unnest(range(1, len(s) + 1)) AS i FROM done)""",
+)
 def win17(v: Views):
-    return SG.silence_segments(_bursts(v), "utt_id", _lengths(v), 2)
+    """Each recording has its own number of segments to end with."""
+    sizes = _lengths(v).withColumn("n_expected", (F.col("utt_id") % 3 + 1).cast("int"))
+    return SG.silence_segments(_bursts(v), "utt_id", sizes, "n_expected")
 
 
 ENERGY_SQL = """

@@ -238,10 +238,6 @@ def src10(v: Views):
     return CO.pair_features(meta, feats).select("utt_id", "n_syllables", "total_samples")
 
 
-def _by_source(v: Views):
-    return [(s, v.texts.filter(F.col("source") == s).select("id", "text")) for s in [*KNOWN, "elsewhere"]]
-
-
 # all sources of the documents; every third counts as synthetic speech
 KNOWN = {f"src{k}": CO.TTS if k % 3 == 0 else CO.NATIVE for k in range(20)}
 DOMAIN_SQL = "CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN 1 ELSE 0 END AS domain"
@@ -252,7 +248,7 @@ DOMAIN_SQL = "CASE WHEN CAST(substr(source, 4) AS INT) % 3 = 0 THEN 1 ELSE 0 END
     f"SELECT id, text, source, {DOMAIN_SQL} FROM texts",
 )
 def src11(v: Views):
-    return CO.load_sources(_by_source(v), KNOWN)
+    return CO.load_sources(v.texts.select("id", "text", "source"), KNOWN)
 
 
 @query(
@@ -263,7 +259,7 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 7""",
 )
 def src11_capped(v: Views):
     """The per-source sentence count as a request (srt-7)."""
-    return CO.load_sources(_by_source(v), KNOWN, cap=7).select("id", "source", "domain")
+    return CO.load_sources(v.texts.select("id", "source"), KNOWN, cap=7).select("id", "source", "domain")
 
 
 @query(

@@ -37,13 +37,21 @@ NATIVE, TTS = 0, 1
 
 
 def load_sources(
-    sources: Sequence[tuple[str, DataFrame]], known: dict[str, int], key: str = "id", cap: int | None = None
+    sources: DataFrame | Sequence[tuple[str, DataFrame]], known: dict[str, int], key: str = "id", cap: int | None = None
 ) -> DataFrame:
     """Known sources in one shape, with ``source`` and ``domain`` labels; unknown names are skipped.
 
-    ``cap`` is the requested number of sentences per source: None means all, 0 none; the first
-    ones by key are taken.
+    ``sources`` is one frame with a ``source`` column, read once, or separate frames by name, which are put together
+    by column names. ``cap`` is the requested number of sentences per source: None means all, 0 none; the first ones
+    by key are taken, and each task keeps no more than that of a source before they meet.
     """
+    if isinstance(sources, DataFrame):
+        domains = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        rows = sources.filter(F.col("source").isin(list(known))).withColumn("domain", F.element_at(domains, F.col("source")))
+        if cap is None:
+            return rows
+        place = F.row_number().over(Window.partitionBy("source").orderBy(key))
+        return rows.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
     out = None
     for name, df in sources:
         if name not in known:

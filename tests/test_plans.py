@@ -64,7 +64,7 @@ def test_filters_and_columns_reach_the_scan(views):
 def test_every_query_has_a_counterpart_or_a_reason():
     # sequential searches and the warping have no plain SQL form
     assert set(QUERIES) - set(ORACLES) == {
-        "str9_unspaced_syllables", "arr7_score_aligned", "win17_silence_segments",
+        "str9_unspaced_syllables", "arr7_score_aligned",
         "cls2_templates_dtw", "arr9_align_to_reference", "scr3_grade_templates",
     }
 
