@@ -40,7 +40,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="lingotide-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+# folders handed out in this process and not released yet
+_given: list[str] = []
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process; for the end of a job, once its results are written.
+
+    Frames that still read one of them cannot be used afterwards. Returns the number of folders released.
+    """
+    released = 0
+    while _given:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_given.pop())
+        released += path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return released
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -190,3 +190,57 @@ def test_sources_and_caps(spark):
     assert count(None) == {("a", 0): 5, ("b", 1): 3}
     assert count(4) == {("a", 0): 4, ("b", 1): 3}
     assert count(0) == {}
+
+
+def test_waves_with_other_chunks(spark, tmp_path):
+    import struct
+
+    from lingotide.sources import audio as A
+
+    def wave(before=b"", between=b""):
+        form = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16)
+        return b"RIFF" + struct.pack("<I", 0) + b"WAVE" + before + form + between + b"data" + struct.pack("<I", 400) + b"\0" * 400
+
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+    files = {
+        "plain.wav": wave(), "junk.wav": wave(between=chunk(b"JUNK", b"x" * 9001)), "list.wav": wave(chunk(b"LIST", b"INFOdata fmt ")),
+        "many.wav": wave(chunk(b"note", b"data") * 100), "cut.wav": wave()[:30], "other.wav": b"RIFF\0\0\0\0AVI data",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = {r.path.rsplit("/", 1)[1]: (r.n_frames, r.sample_rate, r.channels) for r in A.parse_audio(
+        spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")).collect()}
+    good = (100, 8000, 2)
+    assert found == {n: good if n in ("plain.wav", "junk.wav", "list.wav", "many.wav") else (0, None, None) for n in files}
+
+
+def test_shards_are_exact(spark, tmp_path):
+    from lingotide.sources import corpora as CO
+
+    utts = spark.range(103).selectExpr("CAST(id % 7 AS INT) AS speaker", "id AS utt_id")
+    CO.write_shards(utts, str(tmp_path / "s"), size=10)
+    back = spark.read.parquet(str(tmp_path / "s")).toPandas().sort_values(["speaker", "utt_id"])
+    assert back["shard_id"].tolist() == [i // 10 for i in range(103)]
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / "s").glob("shard_id=*"))
+
+
+def test_released_folders_are_gone(spark):
+    from pathlib import Path
+
+    from lingotide import session
+
+    df = session.staged(spark.range(3), "released")
+    path = session._given[-1]
+    assert df.count() == 3 and Path(path).exists()
+    kept, session._given[:] = session._given[:-1], [path]
+    assert session.release_staged(spark) == 1 and not Path(path).exists()
+    session._given[:] = kept
+
+
+def test_token_distance_takes_any_id(spark):
+    from pyspark.sql import functions as F
+
+    from lingotide.functions import text as T
+
+    rows = spark.createDataFrame([([36000, 60000, 5], [36000, 5]), ([70000] * 3, [70000, 1, 70000]), ([], [9])], "a array<int>, b array<int>")
+    assert [r[0] for r in rows.select(T.token_distance(F.col("a"), F.col("b"))).collect()] == [1, 1, 1]
