@@ -289,11 +289,18 @@ def snk3(v: Views):
     )
 
 
-@query("snk3_write_shards", "SELECT utt_id, speaker, n_samples, n_syllables FROM utterances")
+@query(
+    "snk3_write_shards",
+    """SELECT utt_id, speaker, n_samples, n_syllables, (row_number() OVER (ORDER BY speaker, utt_id) - 1) // 100 AS shard_id, 1 AS n_files FROM utterances""",
+)
 def snk3_write(v: Views):
+    """The rows as written, with their shard and the number of files it takes."""
     path = scratch_path(v.spark, "shards")
     CO.write_shards(v.utterances, path, 100)
-    return v.spark.read.schema(v.utterances.schema).parquet(path)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.utterances.schema.fields)
+    rows = v.spark.read.schema(f"{fields}, shard_id long").parquet(path)
+    files = rows.groupBy("shard_id").agg(F.count_distinct(F.input_file_name()).alias("n_files"))
+    return rows.join(files, "shard_id")
 
 
 @query(
