@@ -299,7 +299,8 @@ def snk3_write(v: Views):
     CO.write_shards(v.utterances, path, 100)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.utterances.schema.fields)
     rows = v.spark.read.schema(f"{fields}, shard_id long").parquet(path)
-    files = rows.groupBy("shard_id").agg(F.count_distinct(F.input_file_name()).alias("n_files"))
+    named = rows.select("shard_id", F.col("_metadata.file_name").alias("file"))
+    files = named.groupBy("shard_id").agg(F.count_distinct("file").alias("n_files"))
     return rows.join(files, "shard_id")
 
 
