@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fold(start: Column, items: Column, step: Callable[[Column, Column], Column]) -> Column:
-    return F.aggregate(items, start, step)
-
-
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all leftmost, non-overlapping matches; ``end`` is exclusive.
 

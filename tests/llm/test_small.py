@@ -5,7 +5,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
