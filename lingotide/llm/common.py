@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed by the contracts: words are what white space of ASCII leaves
@@ -36,3 +38,13 @@ def packed(df: DataFrame, *needed: Column) -> DataFrame:
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
+
+
+def free_finished(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so once the driver's memory manager has collected what referred to them, which a driver with little to do
+    may put off for half an hour. Called between the steps of a long operator whose results are written.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lingotide.llm.common import whole
+from lingotide.llm.common import free_finished, whole
 from lingotide.llm.components import components
 from lingotide.session import staged
 
 # groups whose counts make up a point of the tree
-GROUPS = 128
+GROUPS = 256
+# the largest count, reached by texts of some 16 million words
+FULL = 65535
 # points in a leaf of the tree
 LEAF = 16
 # points that meet in one task
@@ -127,8 +129,18 @@ def marks(rule: Rule, shingles: np.ndarray) -> np.ndarray:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by group."""
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
+    """Counts of the shingles by group; ``FULL`` and more are one value."""
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.minimum(counts, FULL).astype(np.uint16)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of coordinate minima per row, which two sets' overlap cannot exceed; two full counts leave it open."""
+    least = np.minimum(a, b)
+    bound = least.sum(1, dtype=np.int64)
+    if least.size and least.max() == FULL:
+        bound += (least == FULL).any(1) * np.int64(1 << 40)
+    return bound
 
 
 class CountTree:
@@ -161,7 +173,7 @@ class CountTree:
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             (box, least, rows, children), asked = todo.pop()
-            bound = np.minimum(points[asked], box).sum(1, dtype=np.int64)
+            bound = overlap_bound(points[asked], box)
             asked = asked[self._possible(bound, sizes[asked], least)]
             if not len(asked):
                 continue
@@ -169,7 +181,7 @@ class CountTree:
                 todo += [(child, asked) for child in children]
                 continue
             for row in rows:
-                exact = np.minimum(points[asked], self.points[row]).sum(1, dtype=np.int64)
+                exact = overlap_bound(points[asked], self.points[row])
                 hit = self._possible(exact, sizes[asked], self.sizes[row])
                 found_q.append(asked[hit])
                 found_r.append(np.full(int(hit.sum()), row))
@@ -178,7 +190,7 @@ class CountTree:
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint32).reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, GROUPS)
 
 
 def sketches(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -258,7 +270,7 @@ def _bound_reached(rule: Rule):
     def reached(a: pd.Series, n_a: pd.Series, b: pd.Series, n_b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
-        overlap = np.minimum(_vectors(a), _vectors(b)).sum(1, dtype=np.int64)
+        overlap = overlap_bound(_vectors(a), _vectors(b))
         return pd.Series((rule.den + rule.num) * overlap >= rule.num * (n_a.to_numpy() + n_b.to_numpy()))
 
     return reached
@@ -284,6 +296,7 @@ def connect(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sketched = staged(sketches(texts, rule), "sketches")
     points = sketched.filter("point IS NOT NULL").select("id", "n_shingles", "point")
     homes = staged(candidate_homes(sketched), "homes")
+    free_finished(texts.sparkSession)
     asked = homes.join(points, "id").join(
         points.select(F.col("id").alias("home"), F.col("n_shingles").alias("home_n"), F.col("point").alias("home_point")), "home"
     )
@@ -293,6 +306,7 @@ def connect(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     star_ends = staged(_ends(stars), "star-ends")
     star_sets = staged(shingle_sets(_only(texts, star_ends), rule), "star-sets")
     star_links = staged(verified(stars, star_sets, rule), "star-links")
+    free_finished(texts.sparkSession)
 
     loose = homes.join(star_links.select(F.col("a").alias("home"), F.col("b").alias("id")), ["home", "id"], "left_anti")
     pairs = staged(_tree_pairs(homes, loose, points, rule).join(stars, ["a", "b"], "left_anti"), "tree-pairs")
@@ -307,7 +321,7 @@ def connect(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sets = star_sets.unionByName(staged(shingle_sets(_only(texts, lacking), rule), "tree-sets"))
     links = pairs.select("ca", "cb").limit(0)
     merged = first.limit(0)
-    width = 2
+    width = 1
     while not pairs.isEmpty():
         ends = pairs.withColumn("end", F.explode(F.array("a", "b")))
         best = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("likely"), "a", "b"))
@@ -320,6 +334,7 @@ def connect(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             rest = rest.join(merged.toDF(end, "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
         pairs = staged(rest.filter("ca <> cb"), "open-pairs")
         width *= 8
+        free_finished(texts.sparkSession)
     every = sketched.select("id").distinct().join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     final = every.join(merged.toDF("component", "_to"), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
     return final, sketched.select("id", "n_shingles")

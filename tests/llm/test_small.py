@@ -414,7 +414,7 @@ def test_overlap_of_odd_rows(odd, empty):
 def test_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(12)
     rule = overlap.Rule()
-    points = rng.poisson(2, (300, overlap.GROUPS)).astype(np.uint32)
+    points = rng.poisson(2, (300, overlap.GROUPS)).astype(np.uint16)
     points[150:] = points[:150] + (rng.random((150, overlap.GROUPS)) < 0.1)
     sizes = points.sum(1).astype(np.int64)
     q, r, _ = overlap.CountTree(points, sizes, rule).search(points, sizes)
