@@ -9,12 +9,26 @@ from lingotide.llm.common import packed, whole
 from lingotide.llm.spans import match_spans, replaced
 
 # The kinds' expressions. Repetitions that need not give anything back are possessive and starts are tied
-# to the edge of a run, so a text takes time in proportion to its length; the matches are those of the plain forms.
+# to the edge of a run, so a text takes time in proportion to its length; the matches are those of the plain forms. Account
+# numbers are looked for at each start, since blanks and words in capitals may follow without belonging to them.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Characters of an account number by country, blanks not counted
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_LENGTH = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+KNOWN_COUNTRY = "^(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")"
+# a match is the first four characters; group 1 is the number, of its country's length, or the longest run of another country
+IBAN = (
+    rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_BY_LENGTH}|(?!{KNOWN_COUNTRY[1:]})[A-Z]{{2}}[0-9]{{2}}"
+    r"(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}"
+)
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 LOCAL = r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 
@@ -66,6 +80,28 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), carry) == 1
 
 
+def _account(value: Column) -> Column:
+    """The account number that ``value`` starts with, or null: all of it, or up to the last blank that makes it valid
+    where the country's length is not known."""
+    words = F.split(value, " ")
+    cuts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    longer = F.filter(cuts, lambda c: F.length(F.regexp_replace(c, " ", "")) >= 15)
+    return F.get(F.filter(F.when(value.rlike(KNOWN_COUNTRY), F.array(value)).otherwise(longer), mod97), F.lit(0))
+
+
+def account_spans(text: Column) -> Column:
+    """Valid account numbers as ``match_spans`` gives them: each place where one may start is tried, up to the end of the last found."""
+    kind = "array<struct<start:int,end:int,value:string>>"
+    cut = F.transform(match_spans(text, IBAN, 1, 4), lambda s: F.struct(s["start"].alias("start"), _account(s["value"]).alias("value")))
+
+    def step(acc: Column, s: Column) -> Column:
+        hit = F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value"))
+        after = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"] <= s["start"], F.lit(True))
+        return F.when(after, F.concat(acc, F.array(hit))).otherwise(acc)
+
+    return F.aggregate(F.filter(cut, lambda s: s["value"].isNotNull()), F.array().cast(kind), step)
+
+
 def _checked(kind: str, value: Column) -> Column:
     if kind == "ip":
         # leading zeros do not count; what is still longer than three digits is over 255
@@ -75,8 +111,6 @@ def _checked(kind: str, value: Column) -> Column:
         return F.length(digits(value)).between(14, 19) & luhn(value)
     if kind == "phone":
         return F.length(digits(value)).between(10, 15)
-    if kind == "iban":
-        return mod97(value)
     return F.lit(True)
 
 
@@ -97,7 +131,8 @@ def _found(kind: str, rank: int, text: Column, pattern: str, threshold: float) -
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score")
         )
 
-    kept = F.transform(F.filter(match_spans(text, pattern), lambda s: _checked(kind, s["value"])), scored)
+    sure = account_spans(text) if kind == "iban" else F.filter(match_spans(text, pattern), lambda s: _checked(kind, s["value"]))
+    kept = F.transform(sure, scored)
     return kept if kind in BASE else F.filter(kept, lambda s: s["score"] >= threshold)
 
 
@@ -105,7 +140,7 @@ def personal_spans(text: Column, threshold: float = 0.6) -> Column:
     """array<struct<start, end, kind, score>> ordered by start, then kind.
 
     Each kind's matches are leftmost and do not overlap among themselves; matches that fail their check are dropped
-    without trying a shorter one. Base kinds stay whatever their score, others from ``threshold`` on.
+    without trying a shorter one; account numbers have their country's length. Base kinds stay whatever their score, others from ``threshold`` on.
     """
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "national_id": NATIONAL, "local_phone": LOCAL}
     out = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"

@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+def match_spans(text: Column, pattern: str, group: int = 0, used: int | None = None) -> Column:
     """array<struct<start, end, value>> of all leftmost, non-overlapping matches; ``end`` is exclusive.
 
     The pieces between the matches and the matches themselves cover the text, so their lengths add up to the places.
-    The pattern must not match the empty string.
+    The pattern must not match the empty string. Where the value is a ``group`` that looks ahead from the start of the
+    match, the match itself has ``used`` characters, and values may overlap.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    found = F.regexp_extract_all(text, F.lit(pattern), group)
     gaps = F.split(text, pattern, -1)
     kind = "struct<start:int,end:int,value:string>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
@@ -21,7 +22,8 @@ def match_spans(text: Column, pattern: str) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["found"])
         hit = F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+        at = end if used is None else begin + used
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])

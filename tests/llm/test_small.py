@@ -161,6 +161,22 @@ def test_checksums_and_context(spark):
     assert kinds == {0: ["iban"], 1: [], 2: ["national_id"], 3: [], 4: ["local_phone"], 5: []}
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    texts = [
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "GB82 WEST 1234 5698 7654 32 Please", "DE89370400440532013000 EUR 250",
+        "GB82WEST12345698765432 I paid", "NL91ABNA0417164300 2024-05-01", "AB12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 X",
+        "XX57 1234 5678 9012 345 EUR", "NO9386011117947 AND", "DE89370400440532013000X", "DE89 3704 0044 0532 0130 0",
+    ]
+    df = spark.createDataFrame([(i, "é " + t) for i, t in enumerate(texts)], "id long, text string")
+    got = {r.id: [("é " + texts[r.id])[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in personal_data.find_personal_data(df).collect()}
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert got == {0: [de], 1: [gb], 2: [de.replace(" ", "")], 3: [gb.replace(" ", "")], 4: ["NL91ABNA0417164300"], 5: [de, gb],
+                   6: ["XX57 1234 5678 9012 345"], 7: ["NO9386011117947"], 8: [], 9: []}
+    masked = personal_data.mask_personal_data(df).filter("id = 2").first()["text"]
+    assert masked == "é <IBAN> EUR 250"
+
+
+
 def test_masking_keeps_columns(odd, spark):
     masked = personal_data.mask_personal_data(odd)
     assert masked.columns == odd.columns and masked.filter("text is null").count() == 2
