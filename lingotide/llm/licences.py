@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,6 +93,10 @@ def _words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
+# words of the longest template, as far as a wrapped notice can reach
+REACH = max(len(_words(t)) for texts in TEMPLATES.values() for t in texts)
+
+
 def _grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
@@ -198,61 +203,182 @@ def _literal(values: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in values])
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of ``value``, which is worked out once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _words_of(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit(WORD), 0)
+
+
+class _Scorer:
+    """Column expressions of a model: which lines hold a cue, and the odds of each class for a list of words."""
+
+    def __init__(self, model: LicenceModel) -> None:
+        grams = sorted(model.weights)
+        self.model = model
+        self.table = F.map_from_arrays(F.array(*map(F.lit, grams)), _literal([model.weights[g] for g in grams]))
+        # cue words are plain lower-case words and numbers, so no character needs quoting
+        self.cue = "(?i)(?<![a-z0-9])(?:" + "|".join(model.cues) + ")(?![a-z0-9])"
+
+    def odds(self, words: Column) -> Column:
+        """struct<pairs, z, top, at>: word pairs, logits, the largest of them and its place from 1."""
+
+        def pairs(w: Column) -> Column:
+            nexts = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
+            return F.array_distinct(F.filter(F.zip_with(w, nexts, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull()))
+
+        def logits(w: Column, p: Column) -> Column:
+            hits = F.filter(F.transform(F.concat(F.array_distinct(w), p), lambda g: F.element_at(self.table, g)), lambda v: v.isNotNull())
+            zero = F.array(*[F.lit(b) for b in self.model.bias])
+            return F.aggregate(hits, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+
+        def with_top(s: Column) -> Column:
+            top = F.array_max(s["z"])
+            at = F.array_position(s["z"], top).cast("int")
+            return F.struct(s["p"].alias("pairs"), s["z"].alias("z"), top.alias("top"), at.alias("at"))
+
+        return _let(_let(words, lambda w: _let(pairs(w), lambda p: F.struct(p.alias("p"), logits(w, p).alias("z")))), with_top)
+
+    def mass(self, s: Column, z: Column) -> Column:
+        return F.exp((z - s["top"]) / self.model.temperature)
+
+    def total(self, s: Column) -> Column:
+        return F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + self.mass(s, z))
+
+
 def licence_spans(text: Column, model: LicenceModel) -> Column:
-    """array<struct<family, start, end, score, similarity>> of the paragraphs (lines) that hold a notice.
+    """array<struct<family, start, end, score, similarity>> of the lines that hold a notice, in order.
 
+    Notices may be wrapped: besides each line, runs of lines without an empty one between them are scored, as far as a
+    template can reach. Of runs that overlap, a family is reported for the one most like its template, then the shortest. A run may
+    name several families: another one needs, besides its likeness, half the word pairs that tell it from those found.
     ``family`` is ``unknown`` where a notice is likely but no template of the likeliest family confirms it.
     """
-    grams = sorted(model.weights)
-    table = F.map_from_arrays(F.array(*map(F.lit, grams)), _literal([model.weights[g] for g in grams]))
-    zero = F.array(*[F.lit(b) for b in model.bias])
-    # cue words are plain lower-case words and numbers, so no character needs quoting
-    cue = "(?i)(?<![a-z0-9])(?:" + "|".join(model.cues) + ")(?![a-z0-9])"
-    lines = F.split(text, "\n")
-    likely = F.filter(F.transform(lines, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["p"].rlike(cue))
+    scorer = _Scorer(model)
     names = F.array(*[F.lit(f) for f in [*FAMILIES, UNKNOWN]])
-    templates = F.array(*[
-        F.array(*[F.array(*map(F.lit, sorted(g for g in _grams(_words(t)) if " " in g))) for t in TEMPLATES[f]]) for f in FAMILIES
-    ])
-
-    def with_grams(s: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(s["p"]), F.lit(WORD), 0)
-        nexts = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-        pairs = F.filter(F.zip_with(words, nexts, lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-        return F.struct(
-            s["p"].alias("p"), s["i"].alias("i"), F.array_distinct(pairs).alias("pairs"), F.array_distinct(F.concat(words, pairs)).alias("grams")
-        )
-
-    def with_odds(s: Column) -> Column:
-        hits = F.filter(F.transform(s["grams"], lambda g: F.element_at(table, g)), lambda w: w.isNotNull())
-        logits = F.aggregate(hits, zero, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
-        return F.struct(s["p"].alias("p"), s["i"].alias("i"), s["pairs"].alias("pairs"), logits.alias("z"))
-
-    def with_score(s: Column) -> Column:
-        top = F.array_max(s["z"])
-        mass = F.aggregate(s["z"], F.lit(0.0), lambda acc, z: acc + F.exp((z - top) / model.temperature))
-        at = F.array_position(s["z"], top).cast("int")
-        return F.struct(s["p"].alias("p"), s["i"].alias("i"), s["pairs"].alias("pairs"), at.alias("at"), (1 / mass).alias("score"))
-
-    def with_similarity(s: Column) -> Column:
-        shares = F.transform(F.element_at(templates, s["at"]), lambda t: F.size(F.array_intersect(t, s["pairs"])) / F.size(t))
-        before = F.slice(lines, F.lit(1), s["i"])
-        start = F.aggregate(before, F.lit(0), lambda acc, p: acc + F.length(p) + 1)
-        similarity = F.array_max(shares)
-        return F.struct(
-            F.when(similarity >= CONFIRM, F.element_at(names, s["at"])).otherwise(F.lit(UNKNOWN)).alias("family"),
-            start.alias("start"), (start + F.length(s["p"])).alias("end"), s["score"].alias("score"), similarity.alias("similarity"),
-        )
-
-    scored = F.transform(F.transform(F.transform(likely, with_grams), with_odds), with_score)
-    notices = F.filter(scored, lambda s: (s["at"] <= len(FAMILIES)) & (s["score"] >= model.threshold))
-    return F.transform(notices, with_similarity)
+    pairs_of = [[sorted(g for g in _grams(_words(t)) if " " in g) for t in TEMPLATES[f]] for f in FAMILIES]
+    templates = F.array(*[F.array(*[F.array(*map(F.lit, t)) for t in ts]) for ts in pairs_of])
+    telling = F.array(*map(F.lit, sorted({g for ts in pairs_of for t in ts for g in t})))
+    out = "array<struct<rank:int,unlike:double,n:int,against:double,i:int,j:int,family:string>>"
+
+    def runs(lines: Column) -> Column:
+        """array<struct<i, j>>: lines with a cue alone, and runs that hold one, from line i to j."""
+
+        def from_line(marks: Column, i: Column) -> Column:
+            near = F.slice(marks, i + 1, F.lit(REACH + 2))
+            here = F.get(near, F.lit(0))
+            steps = F.sequence(F.lit(1), F.size(near) - 1)
+
+            def together(m: Column, k: Column) -> Column:
+                between = F.aggregate(F.slice(m, F.lit(2), k - 1), F.lit(0), lambda acc, c: acc + c["n"])
+                held = F.slice(m, F.lit(1), k + 1)
+                return (between < REACH) & F.forall(held, lambda c: c["n"] > 0) & F.exists(held, lambda c: c["cue"])
+
+            some = (here["n"] > 0) & (F.size(near) > 1) & F.exists(near, lambda c: c["cue"])
+            more = F.when(some, _let(near, lambda m: F.filter(steps, lambda k: together(m, k)))).otherwise(F.array().cast("array<int>"))
+            alone = F.when(here["cue"], F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+            return F.transform(F.concat(alone, more), lambda k: F.struct(i.alias("i"), (i + k).alias("j")))
+
+        marks = F.transform(lines, lambda p: F.struct(F.regexp_count(F.lower(p), F.lit(WORD)).alias("n"), p.rlike(scorer.cue).alias("cue")))
+        return _let(marks, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: from_line(m, i))))
+
+    def words(lines: Column, r: Column) -> Column:
+        """Words of a run; of its first and last line only those that a template across the lines can hold."""
+        length = r["j"] - r["i"]
+
+        def part(p: Column, k: Column) -> Column:
+            def cut(w: Column) -> Column:
+                tail = F.slice(w, F.greatest(F.size(w) - REACH + 1, F.lit(1)), F.lit(REACH))
+                return F.when(length == 0, w).when(k == 0, tail).when(k == length, F.slice(w, F.lit(1), F.lit(REACH))).otherwise(w)
+
+            return _let(_words_of(p), cut)
+
+        return F.flatten(F.transform(F.slice(lines, r["i"] + 1, length + 1), part))
+
+    def families(s: Column) -> Column:
+        """array<int> of the confirmed families, the likeliest first."""
+        none = F.element_at(s["z"], len(FAMILIES) + 1)
+        every = F.transform(F.slice(s["z"], 1, len(FAMILIES)), lambda z, k: F.struct(z.alias("z"), (k + 1).alias("at")))
+        ordered = F.sort_array(F.filter(every, lambda f: f["z"] > none), asc=False)
+
+        def step(acc: Column, f: Column) -> Column:
+            first = F.size(acc["used"]) == 0
+
+            def fits(t: Column) -> Column:
+                own = F.array_except(t, acc["used"])
+                told = F.size(F.array_intersect(own, s["pairs"]))
+                return (F.size(F.array_intersect(t, s["pairs"])) >= CONFIRM * F.size(t)) & (first | ((told > 0) & (told * 2 >= F.size(own))))
+
+            def joined(ok: Column) -> Column:
+                used = F.when(ok | first, F.concat(acc["used"], F.flatten(F.element_at(templates, f["at"])))).otherwise(acc["used"])
+                return F.struct(F.when(ok, F.concat(acc["out"], F.array(f["at"]))).otherwise(acc["out"]).alias("out"), used.alias("used"))
+
+            return _let(F.exists(F.element_at(templates, f["at"]), fits), joined)
+
+        empty = F.struct(F.array().cast("array<int>").alias("out"), F.array().cast("array<string>").alias("used"))
+        return F.aggregate(ordered, empty, step, lambda acc: acc["out"])
+
+    def likeness(s: Column, at: Column) -> Column:
+        return F.array_max(F.transform(F.element_at(templates, at), lambda t: F.size(F.array_intersect(t, s["pairs"])) / F.size(t)))
+
+    def notices(r: Column, s: Column) -> Column:
+        """The families of a run, each weighed against no notice and the families that are not confirmed."""
+
+        def row(at: Column, family: Column, others: Column, rank: int) -> Column:
+            n, like = r["j"] - r["i"], likeness(s, at)
+            score = scorer.mass(s, F.element_at(s["z"], at)) / (scorer.total(s) - others)
+            return F.struct(
+                F.lit(rank).alias("rank"), (-like).alias("unlike"), n.alias("n"), (-score).alias("against"), r["i"].alias("i"), r["j"].alias("j"), family.alias("family")
+            )
+
+        def listed(found: Column) -> Column:
+            def others(at: Column) -> Column:
+                return F.aggregate(F.filter(found, lambda f: f != at), F.lit(0.0), lambda acc, f: acc + scorer.mass(s, F.element_at(s["z"], f)))
+
+            sure = F.transform(found, lambda at: row(at, F.element_at(names, at), others(at), 0))
+            return F.when(F.size(found) > 0, sure).otherwise(F.array(row(s["at"], F.lit(UNKNOWN), F.lit(0.0), 1)))
+
+        return F.filter(_let(families(s), listed), lambda n: -n["against"] >= model.threshold)
+
+    def scored(lines: Column, r: Column) -> Column:
+        def of(s: Column) -> Column:
+            known = F.struct(F.array_intersect(s["pairs"], telling).alias("pairs"), s["z"].alias("z"), s["top"].alias("top"), s["at"].alias("at"))
+            return F.when(s["at"] <= len(FAMILIES), _let(known, lambda k: notices(r, k))).otherwise(F.array().cast(out))
+
+        return _let(scorer.odds(words(lines, r)), of)
+
+    def chosen(found: Column) -> Column:
+        """The most alike first, then what neither overlaps one of its family nor, if unknown, any."""
+        # an unknown notice has no likeness to go by, so the shortest run is the first
+        keyed = F.transform(found, lambda n: F.struct(n["rank"].alias("rank"), F.when(n["rank"] == 0, n["unlike"]).otherwise(0.0).alias("by"), n["n"].alias("n"), n["against"].alias("against"), n["i"].alias("i"), n.alias("it")))
+
+        def step(acc: Column, k: Column) -> Column:
+            n = k["it"]
+            met = F.exists(acc, lambda a: (a["i"] <= n["j"]) & (n["i"] <= a["j"]) & ((a["family"] == n["family"]) | (n["rank"] == 1)))
+            return F.when(met, acc).otherwise(F.concat(acc, F.array(n)))
+
+        return F.aggregate(F.array_sort(keyed), F.array().cast(out), step)
+
+    def placed(lines: Column, n: Column) -> Column:
+        start = F.aggregate(F.slice(lines, F.lit(1), n["i"]), F.lit(0), lambda acc, p: acc + F.length(p) + 1)
+        end = F.aggregate(F.slice(lines, n["i"] + 1, n["j"] - n["i"] + 1), F.lit(-1), lambda acc, p: acc + F.length(p) + 1)
+        return F.struct(start.alias("start"), end.alias("length"), n["family"].alias("family"), (-n["against"]).alias("score"), (-n["unlike"]).alias("similarity"))
+
+    def spans(lines: Column) -> Column:
+        every = F.flatten(F.transform(runs(lines), lambda r: scored(lines, r)))
+        rows = F.array_sort(F.transform(chosen(every), lambda n: placed(lines, n)))
+        return F.transform(rows, lambda n: F.struct(n["family"], n["start"], (n["start"] + n["length"]).alias("end"), n["score"], n["similarity"]))
+
+    none = F.array().cast("array<struct<family:string,start:int,end:int,score:double,similarity:double>>")
+    return F.when(text.rlike(scorer.cue), _let(F.split(text, "\n"), spans)).otherwise(none)
 
 
 def scan_licences(texts: DataFrame, model: LicenceModel | None = None, sample: int = SAMPLE) -> DataFrame:
     """Licence notices of sentence texts (id, text): id, licences array<struct<family, start, end, score, similarity>>.
 
-    Paragraphs are lines, places code points, ends exclusive. The classifier is fitted on fixed templates and a bounded
+    Spans are whole lines, one or several of a wrapped notice, places code points, ends exclusive. The classifier is fitted on fixed templates and a bounded
     draw of paragraphs; scoring is built-in expressions over whole texts without moving a row. Null and empty texts have
     no notices; repeated rows repeat; ids may be null; other columns are left out.
     """

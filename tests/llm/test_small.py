@@ -463,6 +463,20 @@ def test_licences(spark, odd, empty):
     assert licences.scan_licences(odd).count() == len(ROWS) and licences.scan_licences(empty).count() == 0
 
 
+def test_wrapped_licences_and_two_in_a_line(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    lgpl = "# This library is free software; you can redistribute it\n# under the terms of the GNU Lesser General Public License"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License"
+    two = "Licensed under the MIT License or the Apache License, Version 2.0"
+    notes = ["a\n" + bsd + "\nriver", lgpl, "é\n\n" + gpl + "\n\nb", two, "Released under\n\nthe MIT License", "Licensed under the GNU Lesser General Public License, version 3"]
+    got = licences.scan_licences(spark.createDataFrame(list(enumerate(notes)), "id long, text string")).collect()
+    found = {r.id: [(s.family, notes[r.id][s.start : s.end]) for s in r.licences if s.family != "unknown"] for r in got}
+    assert {i: sorted(f) for i, f in found.items() if i != 4} == {
+        0: [("bsd", bsd)], 1: [("lgpl", lgpl)], 2: [("gpl", gpl)], 3: [("apache-2.0", two), ("mit", two)], 5: [("lgpl", notes[5])],
+    }
+    assert all("\n" not in text for _, text in found[4])
+
+
 def test_no_licence_without_a_cue(spark):
     model = licences.fit_licences(["the and of to in it is that for on with as are this was"] * 30)
     assert all(any(w in model.cues for w in g.split(" ")) for g in model.weights)
