@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -78,12 +78,20 @@ NEAR_MISSES = [
     "The version of the story told by the author", "Public transport is free of charge for any person", "The source of the river lies under the hill",
     "Under the terms of the treaty the land was granted", "All seats are reserved", "He was released under the condition that he leaves",
 ]
+# Words that name a licence or its terms, at least two in each template. They are cues however common they are, and a line
+# with two of them may be a notice, so it is no example without one.
+NAMES = set(
+    """mit apache gnu gpl lgpl agpl lesser affero mozilla mpl bsd cc cc0 creative commons sharealike noncommercial license licensed version
+    domain hereby granted redistribution binary copyright waived rights reserved publication reproduced""".split()
+)
 FAMILIES = list(TEMPLATES)
 UNKNOWN = "unknown"
 # paragraphs drawn from the texts as examples without a notice
 SAMPLE = 2000
-# a word in more than this share of the drawn paragraphs says nothing about notices
+# a word in more than this share of all paragraphs without a notice says nothing about notices
 COMMON = 0.005
+# share of the paragraphs without a notice that the threshold lets through, where it is between these two
+PASSED, LEAST, MOST = 0.001, 0.5, 0.9
 # share of a template's word pairs that a paragraph must hold to confirm its family
 CONFIRM = 0.6
 WORD = r"[a-z0-9]+"
@@ -101,6 +109,10 @@ def _grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+def template_words() -> set[str]:
+    return {w for texts in TEMPLATES.values() for t in texts for w in _words(t)}
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     """Weights per n-gram and class (families, then unknown), biases and temperature."""
@@ -129,19 +141,21 @@ def _examples() -> tuple[list[set[str]], list[int]]:
     return x, y
 
 
-def fit_licences(paragraphs: list[str]) -> LicenceModel:
+def fit_licences(paragraphs: list[str], common: set[str] | None = None) -> LicenceModel:
     """Sparse softmax regression on templates, near misses and ``paragraphs`` of the texts at hand.
 
-    N-grams count only if they hold a word that is rare in ``paragraphs``; small weights become zero each step (L1). Drawn paragraphs
-    that hold most of a template are left out, since they may be notices. The temperature is the one that fits every third
+    N-grams count only if they hold a word that is not in ``common`` (by default what is common in ``paragraphs``) or is one of
+    ``NAMES``; small weights become zero each step (L1). Drawn paragraphs that hold most of a template or two of
+    ``NAMES`` are left out, since they may be notices. The temperature is the one that fits every third
     example best, which the weights have not seen; the threshold lets at most one in a thousand examples without notice through.
     """
     drawn = [_grams(_words(p)) for p in paragraphs]
     pairs = [{g for g in _grams(_words(t)) if " " in g} for texts in TEMPLATES.values() for t in texts]
-    drawn = [g for g in drawn if g and not any(len(g & t) >= CONFIRM * len(t) for t in pairs)]
+    drawn = [g for g in drawn if g and len(g & NAMES) < 2 and not any(len(g & t) >= CONFIRM * len(t) for t in pairs)]
     x, y = _examples()
-    common = {w for t in TEMPLATES.values() for s in t for w in _words(s) if sum(w in g for g in drawn) > COMMON * len(drawn)}
-    rare = {w for g in x for w in g if " " not in w} - common
+    if common is None:
+        common = {w for w in template_words() if sum(w in g for g in drawn) > COMMON * len(drawn)}
+    rare = {w for g in x for w in g if " " not in w} - (common - NAMES)
     vocabulary = sorted(g for g in set().union(*x) if any(w in rare for w in g.split(" ")))
     place = {g: i for i, g in enumerate(vocabulary)}
     none = [_grams(_words(s)) for s in NEAR_MISSES] + drawn
@@ -178,7 +192,7 @@ def fit_licences(paragraphs: list[str]) -> LicenceModel:
     temperature = grid[int(np.argmin(losses))]
     w = train(np.ones(len(x), dtype=bool))
     seen = proba(w, temperature)[y == len(FAMILIES), :-1].max(1)
-    threshold = float(np.clip(np.quantile(seen, 0.999), 0.5, 0.9))
+    threshold = float(np.clip(np.quantile(seen, 1 - PASSED), LEAST, MOST))
     weights = {g: [round(float(v), 4) for v in w[i]] for g, i in place.items() if np.abs(w[i]).max() > 0}
     # a cue must be found by itself, so every rare word of a weighted n-gram is listed
     for gram in list(weights):
@@ -375,12 +389,53 @@ def licence_spans(text: Column, model: LicenceModel) -> Column:
     return F.when(text.rlike(scorer.cue), _let(F.split(text, "\n"), spans)).otherwise(none)
 
 
+def _two_names(words: Column) -> Column:
+    return F.size(F.array_intersect(words, F.array(*map(F.lit, sorted(NAMES))))) >= 2
+
+
+def count_words(texts: DataFrame) -> tuple[int, dict[str, int]]:
+    """Of all paragraphs but those with two of ``NAMES``: how many there are, and how many hold each word of the templates."""
+    lines = texts.select(F.explode(F.split(whole("text"), "\n")).alias("p")).filter("p <> ''")
+    known = F.array(*map(F.lit, sorted(template_words() | NAMES)))
+    held = lines.select(F.array_intersect(_words_of(F.col("p")), known).alias("w")).filter(~_two_names(F.col("w")))
+    # the empty word counts the paragraphs
+    rows = held.select(F.explode(F.concat("w", F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
+    counts = {r["w"]: r["count"] for r in rows}
+    return counts.pop("", 0), counts
+
+
+def counted_threshold(texts: DataFrame, model: LicenceModel, total: int) -> float:
+    """The least score in steps of a hundredth that at most ``PASSED`` of ``total`` paragraphs reach, from all paragraphs
+    but those with two of ``NAMES``."""
+    scorer = _Scorer(model)
+    lines = texts.select(F.explode(F.split(whole("text"), "\n")).alias("p")).filter(F.col("p").rlike(scorer.cue))
+
+    def score(s: Column) -> Column:
+        return F.when(s["at"] <= len(FAMILIES), 1 / scorer.total(s)).otherwise(0.0)
+
+    scores = lines.select(_words_of(F.col("p")).alias("w")).filter(~_two_names(F.col("w"))).select(_let(scorer.odds(F.col("w")), score).alias("s"))
+    steps = scores.filter(F.col("s") >= LEAST).select(F.floor(F.col("s") * 100).cast("int").alias("step")).groupBy("step").count().collect()
+    counts, above = {r["step"]: r["count"] for r in steps}, 0
+    for step in range(100, round(LEAST * 100) - 1, -1):
+        above += counts.get(step, 0)
+        if above > PASSED * total:
+            return float(np.clip((step + 1) / 100, LEAST, MOST))
+    return LEAST
+
+
+def fit_to_texts(texts: DataFrame, sample: int = SAMPLE) -> LicenceModel:
+    """A model fitted on a bounded draw of paragraphs; common words and the threshold are counted over all."""
+    total, counts = count_words(texts)
+    model = fit_licences(draw_paragraphs(texts, sample), {w for w, n in counts.items() if n > COMMON * total})
+    return replace(model, threshold=counted_threshold(texts, model, total))
+
+
 def scan_licences(texts: DataFrame, model: LicenceModel | None = None, sample: int = SAMPLE) -> DataFrame:
     """Licence notices of sentence texts (id, text): id, licences array<struct<family, start, end, score, similarity>>.
 
     Spans are whole lines, one or several of a wrapped notice, places code points, ends exclusive. The classifier is fitted on fixed templates and a bounded
-    draw of paragraphs; scoring is built-in expressions over whole texts without moving a row. Null and empty texts have
+    draw of paragraphs, with words and scores counted over all of them; scoring is built-in expressions over whole texts without moving a row. Null and empty texts have
     no notices; repeated rows repeat; ids may be null; other columns are left out.
     """
-    model = model or fit_licences(draw_paragraphs(texts, sample))
+    model = model or fit_to_texts(texts, sample)
     return texts.select("id", licence_spans(whole("text"), model).alias("licences"))

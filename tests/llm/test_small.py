@@ -477,6 +477,20 @@ def test_wrapped_licences_and_two_in_a_line(spark):
     assert all("\n" not in text for _, text in found[4])
 
 
+def test_notices_among_many_licence_lines(spark):
+    assert all(len(set(licences._words(t)) & licences.NAMES) >= 2 for texts in licences.TEMPLATES.values() for t in texts)
+    lines = ["License: MIT"] * 1000 + [f"The river {i} runs to the sea" for i in range(2000)] + ["Released under the MIT License", "mit dem Zug nach Hause"]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    total, counts = licences.count_words(df)
+    assert total == 2001 and counts["to"] == 2000 and counts["mit"] == 1
+    model = licences.fit_to_texts(df)
+    assert {"mit", "license"} <= set(model.cues) and "to" not in model.cues
+    got = {r.id: [s.family for s in r.licences] for r in licences.scan_licences(df).filter("id >= 1000 AND size(licences) > 0").collect()}
+    assert got == {3000: ["mit"]}
+    alike = spark.createDataFrame([(i, "mit license version") for i in range(5)], "id long, text string")
+    assert licences.count_words(alike) == (0, {}) and licences.counted_threshold(alike, model, 0) == 0.5
+
+
 def test_no_licence_without_a_cue(spark):
     model = licences.fit_licences(["the and of to in it is that for on with as are this was"] * 30)
     assert all(any(w in model.cues for w in g.split(" ")) for g in model.weights)
