@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingotide.llm import bpe, fingerprints, licences, mixing, neighbours, overlap, personal_data, quality, sharding, tokenfiles
+from lingotide.llm import bpe, fingerprints, licences, mixing, neighbours, overlap, personal_data, pivots, quality, ranked, sharding, spellings, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -232,3 +232,73 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(places, ",").alias("spans"),
         F.coalesce(F.array_max(found["score"]), F.lit(0.0)).alias("score"),
     )
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some misspelled by rule, with their forms and roots."""
+    return spellings.group_spellings(spellings.spelled_words(texts_of(spark, sf_dir), every=199))
+
+
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE poly AS (SELECT list(c ORDER BY b) AS crc FROM (SELECT b, list_reduce(range(0, 9), lambda x, i: CASE WHEN i = 0 THEN b
+    WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b) AS c FROM range(0, 256) t(b))),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS c FROM r GROUP BY ALL),
+b AS (SELECT w, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM d),
+k AS (SELECT w, c, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+    lambda x, y: xor(x >> 8, crc[CAST(xor(x, y) & 255 AS INT) + 1]), 4294967295), 4294967295) AS h FROM b, poly),
+a AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, c FROM k),
+ws AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM a GROUP BY word HAVING length(word) >= 6 AND sum(c) >= 5),
+x AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM ws),
+g AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM x),
+p AS (SELECT a.word AS u, b.word AS v FROM g a JOIN g b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+    UNION SELECT g.word, ws.word FROM g JOIN ws ON ws.word = g.s UNION SELECT ws.word, g.word FROM g JOIN ws ON ws.word = g.s),
+nr AS (SELECT u AS word, count(*) AS n_near, max(ws.n) AS top FROM p JOIN ws ON ws.word = v GROUP BY u),
+f AS (SELECT ws.word, ws.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * ws.n THEN top END AS form_n FROM ws LEFT JOIN nr USING (word)),
+fo AS (SELECT f.word, min(v.word) AS form FROM f JOIN p ON p.u = f.word JOIN ws v ON v.word = p.v AND v.n = f.form_n GROUP BY f.word),
+o AS (SELECT f.*, form FROM f LEFT JOIN fo USING (word)),
+t(word, root, form) AS (SELECT word, word, form FROM o UNION ALL SELECT t.word, o.word, o.form FROM t JOIN o ON o.word = t.form)
+SELECT o.word, o.form, t.root, o.n, o.n_near, o.form_n FROM o JOIN t ON t.word = o.word AND t.form IS NULL"""
+
+
+@query
+def op12_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    contours = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("f0_norm"))
+    found = pivots.top_contours(contours, contours.filter("id % 100 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLES["op12_pivot_top_k"] = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS c FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.c, v.c) AS BIGINT) AS score FROM v q, v
+    WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(q.c) = len(v.c)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = ranked.rank_sentences(texts_of(spark, sf_dir).select("id", "text"), items)
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+ORACLES["op13_ranked_search"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+st AS (SELECT count(*) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+q AS (SELECT item_id, t, count(*) AS c FROM i GROUP BY ALL),
+x AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM x WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, st GROUP BY t, nn),
+g AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * nn) // ll)))) AS g FROM tf JOIN w USING (t), st),
+s AS (SELECT item_id, doc_id, CAST(sum(c * g) AS BIGINT) AS score FROM g JOIN q USING (t) GROUP BY ALL HAVING sum(c * g) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10"""
