@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # Marked vowels by plain vowel, tones 1..4 in order.
 TONE_MARKS = {"a": "āáǎà", "e": "ēéěè", "i": "īíǐì", "o": "ōóǒò", "u": "ūúǔù", "ü": "ǖǘǚǜ"}
@@ -109,47 +104,75 @@ def add_tone_mark(pinyin: Column, tone: Column) -> Column:
     return F.when(tone.between(1, 4) & (at > 0), done).otherwise(pinyin)
 
 
-_VOWELS = "aeiouü"
-_ANY_VOWEL = _VOWELS + _VOWELS.upper() + MARKED + MARKED.upper()
+_VOWELS = "aeiouüAEIOUÜ"
+_ANY_VOWEL = _VOWELS + MARKED + MARKED.upper()
 # one marked vowel, the plain vowels after it, and a closing ng, n or r that no vowel follows
-_MARKED_SYLLABLE = re.compile(
-    f"[^{MARKED}]*[{MARKED}](?i:[{_VOWELS}])*"
-    f"(?:(?i:ng)(?![{_ANY_VOWEL}])|(?i:n)(?![gG{_ANY_VOWEL}])|(?i:r)(?![{_ANY_VOWEL}]))?"
+_MARKED_SYLLABLE = (
+    f"[^{MARKED}]*[{MARKED}][{_VOWELS}]*(?:[nN][gG](?![{_ANY_VOWEL}])|[nN](?![gG{_ANY_VOWEL}])|[rR](?![{_ANY_VOWEL}]))?"
 )
-_INITIAL = re.compile(f"(?i:{DIGRAPH_INITIALS})|(?<=[{_ANY_VOWEL}nNgG])(?i:[{LETTER_INITIALS}])")
-
-
-def split_unspaced(romanization: str, n: int) -> list[str]:
-    """Cut a romanization into n syllables: by spaces, tone marks, initials, tokens, or evenly."""
-    tokens = romanization.split()
-    if len(tokens) == n:
-        return tokens
-    joined = romanization.replace(" ", "")
-    if not joined or n == 0:
-        return []
-    if n == 1:
-        return [joined]
-    if sum(c in MARKED for c in joined) == n:
-        pieces = _MARKED_SYLLABLE.findall(joined)
-        pieces[-1] += joined[sum(map(len, pieces)):]
-        return pieces
-    starts = [0] + [m.start() for m in _INITIAL.finditer(joined, 1)]
-    if len(starts) == n:
-        return [joined[a:b] for a, b in zip(starts, starts[1:] + [len(joined)])]
-    if 0 < len(tokens) < n:
-        pieces = []
-        for token in tokens:
-            # each later token keeps one syllable; n is not reduced as pieces are placed
-            room = n - (len(tokens) - len(pieces) - 1)
-            share = max(1, min(sum(c in MARKED for c in token), room))
-            pieces += [token] if share == 1 else split_unspaced(token, share)
-        if len(pieces) == n:
-            return pieces
-    width = max(1, len(joined) // n)
-    return [joined[k * width:(k + 1) * width] for k in range(n - 1)] + [joined[(n - 1) * width:]]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def split_unspaced_batch(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for romanization, n in batches:
-        yield pd.Series([None if r is None else split_unspaced(r, k) for r, k in zip(romanization, n)], dtype=object)
+# an initial inside a word: two letters anywhere, one letter after a vowel or n or g
+_INITIAL = f"[zcsZCS][hH]|(?<=[{_ANY_VOWEL}nNgG])[{LETTER_INITIALS}{LETTER_INITIALS.upper()}]"
+_INITIAL_SYLLABLE = f"(?s)(?:\\A.|{_INITIAL})(?:(?!{_INITIAL}).)*"
+
+
+def _marks(text: Column) -> Column:
+    """Number of marked vowels."""
+    return F.regexp_count(text, F.lit(f"[{MARKED}]"))
+
+
+def _even_pieces(text: Column, n: Column) -> Column:
+    """n pieces of equal length, the last one taking what is left."""
+    width = F.greatest(F.lit(1), F.floor(F.length(text) / n).cast("int"))
+    heads = F.slice(F.regexp_extract_all(text, F.concat(F.lit("(?s).{"), width.cast("string"), F.lit("}")), F.lit(0)), F.lit(1), n - 1)
+    missing = F.array_repeat(F.lit(""), n - 1 - F.least(n - 1, F.floor(F.length(text) / width).cast("int")))
+    return F.concat(heads, missing, F.array(F.substring(text, (n - 1) * width + 1, F.length(text))))
+
+
+def _marked_pieces(text: Column, n: Column) -> Column:
+    """A piece for each of n tone marks, the last one taking what is left."""
+    heads = F.slice(F.regexp_extract_all(text, F.lit(_MARKED_SYLLABLE), F.lit(0)), F.lit(1), n - 1)
+    return F.concat(heads, F.array(F.substring(text, F.length(F.array_join(heads, "")) + 1, F.length(text))))
+
+
+def _initial_pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_INITIAL_SYLLABLE), F.lit(0))
+
+
+def _cut_token(token: Column, n: Column) -> Column:
+    by_initial = _initial_pieces(token)
+    cut = F.when(_marks(token) == n, _marked_pieces(token, n)).when(F.size(by_initial) == n, by_initial)
+    return F.when(n == 1, F.array(token)).otherwise(F.coalesce(cut, _even_pieces(token, n)))
+
+
+def split_unspaced(df: DataFrame, romanization: str, tokens: str, n: str, name: str) -> DataFrame:
+    """Add ``name``: a romanization cut into n syllables by tone marks, by initials, token by token, or evenly.
+
+    ``tokens`` are its parts between white space. With fewer tokens than syllables, every token gets as many as it has tone marks, at least one
+    and at most what the tokens after it leave; a token that neither marks nor initials cut into its share is cut evenly.
+    Every cut is a column of its own, worked out only for rows that no earlier one has settled, in one pass over the text.
+    """
+    count = F.col(n)
+    text, marked, initial, dealt = (F.col(f"_{name}_{c}") for c in ("text", "marked", "initial", "dealt"))
+    unsettled = (F.size(tokens) != count) & (count > 1)
+    out = df.withColumn(f"_{name}_text", F.when(F.size(tokens) != count, F.translate(romanization, " ", "")))
+    out = out.withColumn(f"_{name}_marked", F.when(unsettled & (_marks(text) == count), _marked_pieces(text, count)))
+    out = out.withColumn(f"_{name}_initial", F.when(unsettled & marked.isNull(), _initial_pieces(text)))
+    # the later tokens keep one syllable each; n is not reduced as syllables are dealt
+    start = F.struct(F.lit(0).alias("placed"), F.array().cast("array<int>").alias("shares"))
+
+    def deal(acc: Column, token: Column) -> Column:
+        share = F.greatest(F.lit(1), F.least(_marks(token), count - F.size(tokens) + acc["placed"] + 1))
+        return F.struct((acc["placed"] + share).alias("placed"), F.concat(acc["shares"], F.array(share)).alias("shares"))
+
+    few = unsettled & (F.size(tokens) < count) & marked.isNull() & (F.size(initial) != count)
+    out = out.withColumn(f"_{name}_dealt", F.when(few, F.aggregate(tokens, start, deal)))
+    whole = (
+        F.when(F.size(tokens) == count, F.col(tokens))
+        .when((text == "") | (count == 0), F.array().cast("array<string>"))
+        .when(count == 1, F.array(text))
+        .when(marked.isNotNull(), marked)
+        .when(F.size(initial) == count, initial)
+        .when(dealt["placed"] == count, F.flatten(F.zip_with(tokens, dealt["shares"], _cut_token)))
+        .otherwise(_even_pieces(text, count))
+    )
+    return out.withColumn(name, whole).drop(*(f"_{name}_{c}" for c in ("text", "marked", "initial", "dealt")))

@@ -18,9 +18,12 @@ GENERAL_FINALS = ["a", "o", "e", "ai", "ei", "ao", "ou", "an", "en", "ang", "eng
 I_FINALS = ["i", "ia", "ie", "iao", "iu", "ian", "in", "iang", "ing", "iong"]
 U_FINALS = ["u", "ua", "uo", "uai", "ui", "uan", "un", "uang", "ueng"]
 UMLAUT_FINALS = ["ü", "üe", "üan", "ün"]
-STANDALONE = (
-    "a o e ai ei ao ou an en ang eng er yi ya ye yao you yan yin yang ying yong wu wa wo wai wei wan wen wang weng yu yue yuan yun"
-).split()
+# Syllables that stand without an initial.
+STANDALONE = [
+    "a", "o", "e", "ai", "ei", "ao", "ou", "an", "en", "ang", "eng", "er", "yi", "ya", "ye", "yao", "you",
+    "yan", "yin", "yang", "ying", "yong", "wu", "wa", "wo", "wai", "wei", "wan", "wen", "wang", "weng", "yu", "yue", "yuan",
+    "yun",
+]
 # sibilants and r take a bare i that no class above gives
 BARE_I = ["zhi", "chi", "shi", "ri", "zi", "ci", "si"]
 NOT_SYLLABLES = ["buo", "puo", "muo", "fuo", "fei", "gei", "kei", "hei", "zhei", "shei"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,39 +89,115 @@ def score_targets(targets: DataFrame, frames: DataFrame, key: str, probs: str =
     return targets.join(best, [key, "token"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+class _AlignedWalk:
+    """The monotone search of one utterance, fed with its frames in stretches.
+
+    Carries the next target, the frame after the last match and the frames from there on. A target is decided as soon as its whole
+    window has come in, so what is held is one window, not the utterance.
+    """
+
+    def __init__(self, tokens: list[int], n_frames: int) -> None:
+        self.tokens, self.columns = np.unique(tokens, return_inverse=True)
+        self.n_frames = n_frames
+        self.scores: list[float] = []
+        self.at = 0
+        self.held: list[np.ndarray] = []
+        self.first = self.come = 0
+
+    def feed(self, block: np.ndarray) -> None:
+        """Take the next frames, a row of class probabilities each; classes that have none score 0."""
+        n = len(self.columns)
+        if len(self.scores) == n:
+            return
+        known = (self.tokens >= 0) & (self.tokens < block.shape[1])
+        own = np.zeros((len(block), len(self.tokens)))
+        own[:, known] = block[:, self.tokens[known]]
+        self.held.append(own)
+        self.come += len(block)
+        while len(self.scores) < n:
+            share = (self.n_frames - self.at) // (n - len(self.scores))
+            stop = max(self.at + 1, min(self.n_frames, self.at + share))
+            if self.come < min(stop, self.n_frames):
+                return
+            window = self._rows(stop)[:, self.columns[len(self.scores)]]
+            best = max(0.0, float(window.max(initial=0.0)))
+            self.scores.append(best)
+            self.at += 1 + (int(np.argmax(window)) if best > 0 else 0)
+
+    def _rows(self, stop: int) -> np.ndarray:
+        """Frames from the one after the last match up to ``stop``; earlier ones are let go."""
+        rows = self.held[0] if len(self.held) == 1 else np.concatenate(self.held)
+        rows = rows[max(0, self.at - self.first):]
+        self.held, self.first = [rows], max(self.at, self.first)
+        return rows[: max(0, stop - self.first)]
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of a list column, the shorter ones filled up with 0; null counts as 0."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    values = pc.fill_null(lists.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    width = lengths.max(initial=0)
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width)[None] < lengths[:, None]] = values
+    return out
+
+
+def _walk_aligned(key: str):
+    """Sorted rows of many utterances, each headed by a row with its targets, to (key, pos, score)."""
+
+    def scores(owner, kind: pa.DataType, walk: _AlignedWalk) -> pa.RecordBatch:
+        n = len(walk.scores)
+        columns = [pa.array([owner] * n, type=kind), pa.array(range(n), pa.int32()), pa.array(walk.scores, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "pos", "score"])
+
+    def walk_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner = kind = walk = None
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            heads = np.flatnonzero(batch.column("_tokens").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            edges = sorted({0, *heads, batch.num_rows})
+            for start, stop in zip(edges, edges[1:]):
+                part = batch.slice(start, stop - start)
+                if start in heads:
+                    if walk is not None:
+                        yield scores(owner, kind, walk)
+                    owner = part.column(key)[0].as_py()
+                    walk = _AlignedWalk(part.column("_tokens")[0].as_py(), part.column("_n_frames")[0].as_py())
+                    part = part.slice(1)
+                # frames of utterances without targets are passed over; more frames than the utterance has are never looked at
+                if part.num_rows and walk is not None and part.column(key)[0].as_py() == owner:
+                    walk.feed(_matrix(part.column("_p")))
+        if walk is not None:
+            yield scores(owner, kind, walk)
+
+    return walk_all
+
+
 def score_aligned(targets: DataFrame, frames: DataFrame, key: str, probs: str = "probs") -> DataFrame:
     """Monotone greedy scores: (key, pos, score).
 
     Target i looks from the frame after the previous match through its proportional share of the
-    remaining frames and takes the first best one; with no frames left it scores 0. The search is
-    sequential within an utterance, so its frames come together in one row, reduced to the target
-    tokens only; recordings are at most a minute long (see the recording checks).
+    remaining frames and takes the first best one; with no frames left it scores 0. Utterances without frames or without targets give nothing.
+
+    The search is sequential within an utterance: its targets and then its frames pass through one task in order, in the one shuffle
+    that there is, and only the state of the search is handed from batch to batch. What a task holds is
+    one target's share of the frames, so recordings of any length pass.
     """
-    wanted = targets.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("_tokens")
-    )
-    narrow = frames.join(wanted, key).select(
-        key,
-        "frame",
-        F.transform("_tokens", lambda t: F.coalesce(F.try_element_at(probs, t + 1), F.lit(0.0))).alias("_p"),
-    )
-    table = narrow.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("frame", "_p"))), lambda s: s["_p"]).alias("_frames")
+    lengths = frames.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_n_frames"))
+    tokens = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])
+    heads = targets.groupBy(key).agg(tokens.alias("_tokens")).join(lengths, key)
+    rows = (
+        frames.select(key, "frame", F.col(probs).cast("array<double>").alias("_p"))
+        .unionByName(heads, allowMissingColumns=True)
+        .select(key, "frame", "_p", "_n_frames", "_tokens")
     )
-    rows = F.col("_frames")
-    n, t = F.size(F.element_at(rows, 1)), F.size(rows)
-
-    def place(acc: Column, i: Column) -> Column:
-        share = F.least(t, acc["m"] + F.floor((t - acc["m"]) / F.greatest(F.lit(1), n - i)).cast("int"))
-        stop = F.greatest(acc["m"] + 1, share)
-        window = F.transform(F.slice(rows, acc["m"] + 1, stop - acc["m"]), lambda p: F.element_at(p, i + 1))
-        best = F.greatest(F.coalesce(F.array_max(window), F.lit(0.0)), F.lit(0.0))
-        step = F.greatest(F.coalesce(F.array_position(window, best), F.lit(0)), F.lit(1)).cast("int")
-        return F.struct((acc["m"] + step).alias("m"), F.concat(acc["scores"], F.array(best)).alias("scores"))
-
-    start = F.struct(F.lit(0).alias("m"), F.array().cast("array<double>").alias("scores"))
-    scores = F.aggregate(F.sequence(F.lit(0), n - 1), start, place, lambda acc: acc["scores"])
-    return table.select(key, F.posexplode(scores).alias("pos", "score"))
+    # dealt by a hash of the key's hash: a union of two sides that are dealt by the key alone already keeps their partitions, and
+    # adaptive execution may then read each side in its own way
+    ordered = rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, F.col("frame").asc_nulls_first())
+    kind = targets.schema[key].dataType.simpleString()
+    return ordered.drop("frame").mapInArrow(_walk_aligned(key), f"{key} {kind}, pos int, score double")
 
 
 def map_to_characters(scores: Column, n_chars: Column) -> Column:

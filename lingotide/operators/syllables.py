@@ -13,9 +13,8 @@ from lingotide.operators.blocks import BLOCK_ROWS, halo, halo_window, own_rows
 def syllable_arrays(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
     """Chinese characters of each text paired with their pinyin: (key, syllables array<struct<hanzi, pinyin>>).
 
-    Where the romanization has one token per character its tokens are used; the Arrow splitter sees a
-    null for such a row and works only on the others, so the input is read once. Missing pieces become ''
-    and surplus ones are cut; texts without Chinese characters are left out.
+    Where the romanization has one token per character its tokens are used; other rows are cut by expressions as well, so nothing
+    leaves the plan. Missing pieces become '' and surplus ones are cut; texts without Chinese characters are left out.
     """
     chinese = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x{4E00}-\\x{9FFF}]+", "")
     rows = df.select(key, F.coalesce(romanization, F.lit("")).alias("_rom"), chinese.alias("_text"))
@@ -26,19 +25,18 @@ def syllable_arrays(df: DataFrame, key: str, text: str = "text", romanization: s
         F.split("_text", "").alias("_chars"),
         F.split(strip(F.col("_rom")), f"[{WHITESPACE}]+").alias("_tokens"),
     )
-    spaced = F.size("_tokens") == F.col("_n")
-    split = rows.withColumn("_cut", PY.split_unspaced_batch(F.when(~spaced, F.col("_rom")), F.col("_n")))
-    pieces = F.when(spaced, F.col("_tokens")).otherwise(F.slice("_cut", F.lit(1), F.col("_n")))
+    cut = PY.split_unspaced(rows, "_rom", "_tokens", "_n", "_pieces")
     zipped = F.transform(
-        F.arrays_zip("_chars", "_pieces"),
+        F.arrays_zip("_chars", F.slice("_pieces", F.lit(1), F.col("_n")).alias("_pieces")),
         lambda z: F.struct(z["_chars"].alias("hanzi"), F.coalesce(z["_pieces"], F.lit("")).alias("pinyin")),
     )
-    return split.select(key, "_chars", pieces.alias("_pieces")).select(key, zipped.alias("syllables"))
+    return cut.select(key, zipped.alias("syllables"))
 
 
 def explode_syllables(df: DataFrame, key: str, text: str = "text", romanization: str = "romanization") -> DataFrame:
     """One row per Chinese character with its pinyin: (key, idx, hanzi, pinyin, base, initial, final, tone)."""
-    rows = syllable_arrays(df, key, text, romanization).select(key, F.posexplode("syllables").alias("idx", "s"))
+    # the arrays are never empty; the inner form would have Spark filter by their size and work them out twice
+    rows = syllable_arrays(df, key, text, romanization).select(key, F.posexplode_outer("syllables").alias("idx", "s"))
     parsed = rows.withColumn("p", PY.parse_syllable(F.col("s.pinyin")))
     return parsed.select(
         key,

@@ -264,10 +264,11 @@ def agg20_cover(v: Views):
 
 
 # even spans over the frames of each utterance, then contours of 20 points
-SPAN_SQL = """
+EVEN_SQL = """
 spans AS (SELECT utt_id, CAST(i AS INT) AS idx, CAST(floor(i * (total / n_syllables)) AS INT) AS start_ms,
     CAST(CASE WHEN i = n_syllables - 1 THEN total ELSE floor((i + 1) * (total / n_syllables)) END AS INT) AS end_ms
-  FROM (SELECT utt_id, n_syllables, floor(n_frames * 160 / 16000.0E0 * 1000) AS total, unnest(range(n_syllables)) AS i FROM frame_targets)),
+  FROM (SELECT utt_id, n_syllables, floor(n_frames * 160 / 16000.0E0 * 1000) AS total, unnest(range(n_syllables)) AS i FROM frame_targets))"""
+CURVE_SQL = """
 inside AS (SELECT f.utt_id, s.idx, f.frame_idx, f.voicing, CASE WHEN f0_hz > 0 THEN 12 * log2(f0_hz / 100) ELSE 0.0E0 END AS st FROM frames f JOIN spans s ON s.utt_id = f.utt_id
   AND f.frame_idx >= CAST(floor(s.start_ms * 100.0E0 / 1000) AS INT) AND f.frame_idx < CAST(floor(s.end_ms * 100.0E0 / 1000) AS INT)),
 ratio AS (SELECT utt_id, idx, avg(CASE WHEN voicing >= 0.5 THEN 1.0E0 ELSE 0.0E0 END) AS voicing_ratio FROM inside GROUP BY 1, 2),
@@ -280,6 +281,7 @@ lerp AS (SELECT t.utt_id, t.idx, t.j, a.x + (b.x - a.x) * (t.p - a.i) AS v FROM
   JOIN vo b ON b.utt_id = t.utt_id AND b.idx = t.idx AND b.i = least(floor(t.p) + 1, a.m - 1)),
 curve AS (SELECT s.utt_id, s.idx, CAST(r.j AS INT) AS pos, coalesce(v, 0.0E0) AS v FROM spans s CROSS JOIN range(20) r(j)
   LEFT JOIN lerp l ON l.utt_id = s.utt_id AND l.idx = s.idx AND l.j = r.j)"""
+SPAN_SQL = f"{EVEN_SQL},{CURVE_SQL}"
 
 
 def _spans(v: Views):
@@ -370,6 +372,13 @@ def cls1(v: Views):
     return _r(told.select("id", "predicted", "confidence", "tags"), "confidence")
 
 
+# the nearest template's probability and tag over d(gid, ord, tone, d) and meta
+TOLD_SQL = """
+p AS (SELECT *, exp(-d / 2) / sum(exp(-d / 2)) OVER (PARTITION BY gid) AS prob FROM d QUALIFY row_number() OVER (PARTITION BY gid ORDER BY d, ord) = 1),
+told AS (SELECT gid, CASE WHEN duration_ms < 100 OR voicing_ratio < 0.4E0 THEN 0 ELSE tone END AS predicted,
+  CASE WHEN duration_ms < 100 THEN 0.7E0 WHEN voicing_ratio < 0.4E0 THEN 0.6E0 ELSE prob END AS confidence,
+  CASE WHEN duration_ms < 100 THEN 'short_duration' WHEN voicing_ratio < 0.4E0 THEN 'low_voicing' WHEN d < 0.5E0 THEN 'strong_match' WHEN d < 1 THEN 'moderate_match' ELSE 'weak_match' END AS tags
+  FROM p JOIN meta USING (gid))"""
 TEMPLATE_SQL = "(VALUES " + ", ".join(f"({o}, {t}, {[float(x) for x in y]}::DOUBLE[])" for o, (t, y) in enumerate(CL.TEMPLATES.items())) + ") t(ord, tone, y)"
 
 
@@ -379,18 +388,27 @@ TEMPLATE_SQL = "(VALUES " + ", ".join(f"({o}, {t}, {[float(x) for x in y]}::DOUB
 tmpl AS (SELECT ord, tone, i AS pos, y[CAST(floor(i * 19 / 63.0E0) AS INT) + 1] + (y[least(CAST(floor(i * 19 / 63.0E0) AS INT) + 2, 20)] - y[CAST(floor(i * 19 / 63.0E0) AS INT) + 1])
   * (i * 19 / 63.0E0 - floor(i * 19 / 63.0E0)) AS b FROM {TEMPLATE_SQL}, range(64) r(i)),
 d AS (SELECT gid, ord, tone, sqrt(avg((v - b) * (v - b))) AS d FROM points JOIN tmpl USING (pos) GROUP BY 1, 2, 3),
-p AS (SELECT *, exp(-d / 2) / sum(exp(-d / 2)) OVER (PARTITION BY gid) AS prob FROM d QUALIFY row_number() OVER (PARTITION BY gid ORDER BY d, ord) = 1)
-SELECT gid AS id, CASE WHEN duration_ms < 100 OR voicing_ratio < 0.4E0 THEN 0 ELSE tone END AS predicted,
-  round(CASE WHEN duration_ms < 100 THEN 0.7E0 WHEN voicing_ratio < 0.4E0 THEN 0.6E0 ELSE prob END, 6) AS confidence,
-  CASE WHEN duration_ms < 100 THEN 'short_duration' WHEN voicing_ratio < 0.4E0 THEN 'low_voicing' WHEN d < 0.5E0 THEN 'strong_match' WHEN d < 1 THEN 'moderate_match' ELSE 'weak_match' END AS tags
-FROM p JOIN meta USING (gid)""",
+{TOLD_SQL.strip()}
+SELECT gid AS id, predicted, round(confidence, 6) AS confidence, tags FROM told""",
 )
 def cls2(v: Views):
     told = CL.classify_templates(_shaped(v)).withColumn("tags", F.array_join("tags", ","))
     return _r(told.select("id", "predicted", "confidence", "tags"), "confidence")
 
 
-@query("cls2_templates_dtw")
+@query(
+    "cls2_templates_dtw",
+    f"""WITH RECURSIVE {CONTOUR_POINTS_SQL.strip()},
+warp(gid, ord, i, tot) AS (
+  SELECT gid, ord, 0::BIGINT, [0.0::DOUBLE] || list_transform(range(20), lambda k: 'inf'::DOUBLE) FROM meta, {TEMPLATE_SQL}
+  UNION ALL
+  SELECT w.gid, w.ord, i + 1, list_reduce(list_transform(range(1, 21), lambda k: [CAST(k AS DOUBLE)]), lambda acc, k: acc || [abs(s.y[i + 1] - t.y[CAST(k[1] AS BIGINT)])
+    + least(tot[CAST(k[1] AS BIGINT) + 1], acc[CAST(k[1] AS BIGINT)], tot[CAST(k[1] AS BIGINT)])], ['inf'::DOUBLE])
+  FROM warp w JOIN shaped s ON s.id = w.gid JOIN {TEMPLATE_SQL} ON t.ord = w.ord WHERE i < len(s.y)),
+d AS (SELECT gid, w.ord, t.tone, tot[21] AS d FROM warp w JOIN shaped s ON s.id = w.gid JOIN {TEMPLATE_SQL} ON t.ord = w.ord WHERE i = len(s.y)),
+{TOLD_SQL.strip()}
+SELECT gid AS id, predicted, round(confidence, 6) AS confidence, tags FROM told""",
+)
 def cls2_dtw(v: Views):
     told = CL.classify_templates(_shaped(v), use_dtw=True).withColumn("tags", F.array_join("tags", ","))
     return _r(told.select("id", "predicted", "confidence", "tags"), "confidence")
@@ -477,7 +495,35 @@ def arr4(v: Views):
     return SP.chunk_window(spans).drop("start_sample", "end_sample", "n_samples")
 
 
-@query("arr9_align_to_reference")
+@query(
+    "arr9_align_to_reference",
+    """
+WITH RECURSIVE unit AS (SELECT DISTINCT utt_id, frame, list_transform(x, lambda v: v / (sqrt(list_inner_product(x, x)) + 1e-8)) AS u
+  FROM (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS utt_id, CAST(vec_id % 10 AS INT) AS frame, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)),
+rec AS (SELECT utt_id, list(u ORDER BY frame) AS us FROM unit GROUP BY 1),
+pair AS (SELECT a.utt_id, a.us AS q, b.us AS r, len(a.us) AS n, len(b.us) AS m, greatest(1, CAST(floor(greatest(len(a.us), len(b.us)) * 0.3E0) AS BIGINT)) AS w
+  FROM rec a JOIN rec b ON b.utt_id = a.utt_id + 1),
+dp(utt_id, i, tot) AS (
+  SELECT utt_id, 0::BIGINT, [0.0::DOUBLE] || list_transform(range(m), lambda k: 'inf'::DOUBLE) FROM pair
+  UNION ALL
+  SELECT dp.utt_id, i + 1, list_reduce(list_transform(range(1, m + 1), lambda k: [CAST(k AS DOUBLE)]), lambda acc, k: acc || [CASE WHEN abs(k[1] - (i + 1) * m // n) <= w
+      THEN 1 - list_inner_product(q[i + 1], r[CAST(k[1] AS BIGINT)]) + least(tot[CAST(k[1] AS BIGINT) + 1], acc[CAST(k[1] AS BIGINT)], tot[CAST(k[1] AS BIGINT)]) ELSE 'inf'::DOUBLE END], ['inf'::DOUBLE])
+  FROM dp JOIN pair ON pair.utt_id = dp.utt_id WHERE i < n),
+way(utt_id, i, j) AS (
+  SELECT utt_id, n, m FROM pair JOIN dp USING (utt_id) WHERE i = n AND tot[m + 1] < 'inf'::DOUBLE
+  UNION ALL
+  SELECT way.utt_id, CASE WHEN a.tot[j + 1] <= least(b.tot[j], a.tot[j]) OR b.tot[j] > a.tot[j] THEN way.i - 1 ELSE way.i END,
+    CASE WHEN a.tot[j + 1] <= least(b.tot[j], a.tot[j]) THEN j ELSE j - 1 END
+  FROM way JOIN dp a ON a.utt_id = way.utt_id AND a.i = way.i - 1 JOIN dp b ON b.utt_id = way.utt_id AND b.i = way.i WHERE way.i > 1 OR j > 1),
+firsts AS (SELECT utt_id, j, min(i) - 1 AS f FROM way GROUP BY 1, 2),
+cost AS (SELECT way.utt_id, count(*) AS steps, any_value(tot[m + 1]) AS cost FROM way JOIN pair ON pair.utt_id = way.utt_id JOIN dp ON dp.utt_id = way.utt_id AND dp.i = n GROUP BY 1),
+found AS (SELECT p.utt_id, list_sort(list_distinct(list(least(f * 10, n * 10)))) AS b FROM pair p, range(4) k(k)
+  JOIN firsts f ON f.utt_id = p.utt_id AND f.j = least(CAST(floor(floor(k * (m * 10 / 3.0E0)) / 10) AS BIGINT), m - 1) + 1 GROUP BY 1),
+ends AS (SELECT rec.utt_id, CASE WHEN len(b) > 3 THEN b ELSE [CAST(floor(i * (len(us) * 10 / 3.0E0)) AS BIGINT) for i in range(3)] || [len(us) * 10] END AS b,
+  CASE WHEN len(b) > 3 THEN greatest(0.3E0, 1 - least(1, cost / steps)) ELSE 0.5E0 END AS confidence,
+  CASE WHEN len(b) > 3 THEN NULL ELSE 'dtw_fallback_to_uniform' END AS warning FROM rec LEFT JOIN found USING (utt_id) LEFT JOIN cost USING (utt_id))
+SELECT utt_id, CAST(i - 1 AS INT) AS idx, CAST(b[i] AS INT) AS start_ms, CAST(b[i + 1] AS INT) AS end_ms, round(confidence, 6) AS confidence, warning FROM ends, range(1, 4) r(i)""",
+)
 def arr9(v: Views):
     frames = v.logits.select("utt_id", "frame", F.col("logits").alias("features"))
     reference = frames.withColumn("utt_id", F.col("utt_id") - 1)
@@ -492,16 +538,24 @@ def _grading_targets(v: Views):
     )
 
 
-GRADE_SQL = f"""{SPAN_SQL},
+GRADED_POINTS_SQL = """
 points AS (SELECT utt_id * 100 + idx AS gid, pos, v FROM curve),
-meta AS (SELECT s.utt_id * 100 + s.idx AS gid, end_ms - start_ms AS duration_ms, coalesce(voicing_ratio, 0) AS voicing_ratio FROM spans s LEFT JOIN ratio USING (utt_id, idx)),
-{RULES_SQL.strip()},
+meta AS (SELECT s.utt_id * 100 + s.idx AS gid, end_ms - start_ms AS duration_ms, coalesce(voicing_ratio, 0) AS voicing_ratio FROM spans s LEFT JOIN ratio USING (utt_id, idx))"""
+GRADED_SQL = f"""
 tg AS (SELECT utt_id, idx, {word_case(0)} AS base, {word_case(1)} AS tone FROM (SELECT utt_id, i AS idx, (utt_id * 3 + i * 5) % 8 AS n FROM (SELECT *, unnest(range(n_syllables)) AS i FROM frame_targets))),
 t1 AS (SELECT *, CASE WHEN tone = 3 AND lead(tone) OVER (PARTITION BY utt_id ORDER BY idx) = 3 THEN 2 ELSE tone END AS s1 FROM tg),
 t2 AS (SELECT *, CASE WHEN base = 'yi' AND tone = 1 THEN CASE lead(s1) OVER (PARTITION BY utt_id ORDER BY idx) WHEN 4 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 4 ELSE s1 END ELSE s1 END AS s2 FROM t1),
 t3 AS (SELECT *, CASE WHEN base = 'bu' AND tone = 4 AND lead(s2) OVER (PARTITION BY utt_id ORDER BY idx) = 4 THEN 2 ELSE s2 END AS expected FROM t2),
 graded AS (SELECT 'x' AS scorer, utt_id, idx, expected, predicted, confidence FROM t3 JOIN told ON gid = utt_id * 100 + idx),
 {SCORES_SQL.strip().replace('FROM predictions', 'FROM graded')}"""
+GRADE_SQL = f"{SPAN_SQL},{GRADED_POINTS_SQL},{RULES_SQL},{GRADED_SQL}"
+# spans between voicing gaps, told by the nearest template
+TEMPLATE_GRADE_SQL = f"""{RUNS_SQL.strip()},
+ends AS (SELECT utt_id, boundary FROM bounds UNION ALL SELECT utt_id, n_frames FROM frame_targets),
+spans AS (SELECT utt_id, CAST(row_number() OVER w - 1 AS INT) AS idx, coalesce(lag(boundary) OVER w, 0) * 10 AS start_ms, boundary * 10 AS end_ms FROM ends WINDOW w AS (PARTITION BY utt_id ORDER BY boundary)),
+{CURVE_SQL.strip()},{GRADED_POINTS_SQL},
+d AS (SELECT gid, ord, tone, sqrt(avg((v - y[pos + 1]) * (v - y[pos + 1]))) AS d FROM points, {TEMPLATE_SQL} GROUP BY 1, 2, 3),
+{TOLD_SQL.strip()},{GRADED_SQL}"""
 
 
 @query(
@@ -518,7 +572,10 @@ def scr3(v: Views):
     return _r(G.grade(v.frame_table, _grading_targets(v), v.frame_targets, "utt_id"), "score")
 
 
-@query("scr3_grade_templates")
+@query(
+    "scr3_grade_templates",
+    f"WITH {TEMPLATE_GRADE_SQL} SELECT utt_id, n_syllables, round(score, 6) AS score, CAST(NULL AS VARCHAR) AS warning FROM sentence",
+)
 def scr3_templates(v: Views):
     """The same recordings graded by the nearest template, with spans from the voicing gaps."""
     spans = SG.boundary_spans(SG.voicing_boundaries(v.frame_table, v.frame_targets, "utt_id"), v.frame_targets, "utt_id", 0.7)

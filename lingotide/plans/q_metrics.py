@@ -247,7 +247,25 @@ def arr6(v: Views):
     return scored.select("utt_id", "pos", "token", F.round("score", 6).alias("score"))
 
 
-@query("arr7_score_aligned")
+# monotone search over tp(utt_id, pos, ps): per target the probabilities of its token, frame by frame
+ALIGNED_SQL = """
+ask AS (SELECT utt_id, list(ps ORDER BY pos) AS ps, count(*) AS n, any_value(len(ps)) AS t FROM tp GROUP BY 1),
+walk(utt_id, i, m, score) AS (
+  SELECT utt_id, 0::BIGINT, 0::BIGINT, NULL::DOUBLE FROM ask
+  UNION ALL
+  SELECT utt_id, i + 1, m + greatest(1, coalesce(list_position(w, best), 1)), best FROM (
+    SELECT utt_id, i, m, w, greatest(0, coalesce(list_max(w), 0)) AS best FROM (
+      SELECT walk.utt_id, i, m, ps[i + 1][m + 1:greatest(m + 1, least(t, m + (t - m) // greatest(1, n - i)))] AS w
+      FROM walk JOIN ask ON ask.utt_id = walk.utt_id WHERE i < n)))"""
+
+
+@query(
+    "arr7_score_aligned",
+    f"""WITH RECURSIVE tp AS (SELECT t.utt_id, t.pos, list(p.prob ORDER BY p.frame) AS ps FROM (SELECT DISTINCT utt_id, frame AS pos, target FROM logits) t
+  JOIN probs p ON p.utt_id = t.utt_id AND p.token = t.target GROUP BY 1, 2),
+{ALIGNED_SQL.strip()}
+SELECT utt_id, CAST(i - 1 AS INT) AS pos, round(score, 6) AS score FROM walk WHERE i > 0""",
+)
 def arr7(v: Views):
     scored = SC.score_aligned(_targets(v), SC.with_probs(v.logits), "utt_id")
     return scored.select("utt_id", "pos", F.round("score", 6).alias("score"))

@@ -87,7 +87,28 @@ def str9(v: Views):
     return SY.explode_syllables(v.romanized, "sentence_id", "hanzi", "romanization")
 
 
-@query("str9_unspaced_syllables")
+MARK = f"[{PY.MARKED}]"
+VOWEL = f"aeiouü{PY.MARKED}"
+
+
+@query(
+    "str9_unspaced_syllables",
+    f"""
+WITH rom AS (SELECT sentence_id, len(words) AS n, list_transform(words, lambda w: {word_case(3, 'length(w) % 8')}) AS hs,
+    array_to_string(list_transform(words, lambda w: {word_case(2, 'length(w) % 8')}), '') AS j FROM sentences),
+marked AS (SELECT *, list_filter(range(1, length(j) + 1), lambda k: regexp_matches(substr(j, k, 1), '{MARK}')) AS marks,
+    list_filter(range(2, length(j) + 1), lambda k: substr(j, k, 2) IN ('zh', 'ch', 'sh') OR regexp_matches(substr(j, k - 1, 2), '^[ng{VOWEL}][{PY.LETTER_INITIALS}]')) AS inits FROM rom),
+stem AS (SELECT *, list_transform(marks, lambda k: k + length(regexp_extract(substr(j, k + 1, 40), '^[aeiouü]*'))) AS vs FROM marked),
+cut AS (SELECT sentence_id, n, hs, j, CASE WHEN n = 1 THEN [0]
+    WHEN len(marks) = n THEN [0] || list_transform(vs[1:n - 1], lambda k: k + CASE WHEN regexp_matches(substr(j, k + 1, 3), '^ng([^{VOWEL}]|$)') THEN 2
+      WHEN regexp_matches(substr(j, k + 1, 2), '^(n([^g{VOWEL}]|$)|r([^{VOWEL}]|$))') THEN 1 ELSE 0 END)
+    WHEN len(inits) + 1 = n THEN [0] || list_transform(inits, lambda k: k - 1)
+    ELSE list_transform(range(n), lambda k: k * greatest(1, length(j) // n)) END AS starts FROM stem),
+piece AS (SELECT sentence_id, i - 1 AS idx, hs[i] AS hanzi, CASE WHEN i < n THEN substr(j, starts[i] + 1, starts[i + 1] - starts[i]) ELSE substr(j, starts[i] + 1) END AS pinyin
+    FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM cut))
+SELECT sentence_id, CAST(idx AS INT) AS idx, hanzi, pinyin,
+  CASE WHEN regexp_matches(pinyin, '{MARK}') THEN (strpos('{PY.MARKED}', regexp_extract(pinyin, '.*({MARK})', 1)) - 1) % 4 + 1 ELSE 0 END AS tone FROM piece""",
+)
 def str9_unspaced(v: Views):
     """The same sentences written without spaces, which sends every longer one through the splitter."""
     unspaced = v.romanized.withColumn("romanization", F.translate("romanization", " ", ""))

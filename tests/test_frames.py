@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -192,14 +194,55 @@ def test_warping_distances():
 def test_alignment_of_identical_and_stretched_recordings(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(40, 6))
-    cost, path = AL.warping_path(base, base)
-    assert abs(cost) < 1e-6 and path == [(i, i) for i in range(40)]
+    same = AL.warp(base, base)
+    assert abs(same.cost) < 1e-6 and same.steps == 40 and same.first.tolist() == list(range(40))
     twice = np.repeat(base, 2, axis=0)
     bounds, confidence, warning = AL.align_pair(twice, base, 4, 800, 400)
     assert warning is None and confidence > 0.9 and len(bounds) == 5
     assert all(abs(b - 200 * k) <= 20 for k, b in enumerate(bounds[:4]))
 
 
+def plain_warp(query, reference):
+    """Cost, steps and first matches from the whole table of a pair."""
+    n, m = len(query), len(reference)
+    width = max(1, int(max(n, m) * AL.BAND))
+    u, v = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8) for x in (query, reference))
+    total, origin = {(0, 0): 0.0}, {}
+    for i in range(1, n + 1):
+        for j in range(max(1, int(i * m / n) - width), min(m, int(i * m / n) + width) + 1):
+            best, _, origin[i, j] = min((total.get(c, np.inf), k, c) for k, c in enumerate([(i - 1, j), (i, j - 1), (i - 1, j - 1)]))
+            total[i, j] = best + 1 - u[i - 1] @ v[j - 1]
+    if not np.isfinite(total.get((n, m), np.inf)):
+        return None
+    cell, first, steps = (n, m), {}, 0
+    while cell != (0, 0):
+        first[cell[1] - 1], steps, cell = cell[0] - 1, steps + 1, origin[cell]
+    return total[n, m], steps, [first[j] for j in range(m)]
+
+
+def test_warping_against_the_whole_table():
+    rng = np.random.default_rng(21)
+    for trial in range(60):
+        n, m = rng.integers(1, 60, 2)
+        query, reference = rng.normal(size=(n, 5)), rng.normal(size=(n + trial % 5 if trial % 2 else m, 5))
+        got, want = AL.warp(query, reference), plain_warp(query, reference)
+        assert (got is None) == (want is None)
+        if got is not None:
+            assert abs(got.cost - want[0]) < 1e-9 and (got.steps, got.first.tolist()) == want[1:]
+
+
+def test_warping_holds_a_root_of_the_band():
+    rng = np.random.default_rng(22)
+    query = rng.normal(size=(3000, 4))
+    reference = query[np.sort(rng.integers(0, 3000, 3000))]
+    tracemalloc.start()
+    got = AL.warp(query, reference)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the band alone would be 5 million cells of 8 bytes
+    assert got is not None and len(got.first) == 3000 and (np.diff(got.first) >= 0).all() and peak < 4e6
+
+
 def test_alignment_falls_back_to_even_spans():
     rng = np.random.default_rng(12)
     bounds, confidence, warning = AL.align_pair(rng.normal(size=(3, 4)), rng.normal(size=(60, 4)), 2, 30, 600)

@@ -1,10 +1,13 @@
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lingotide.functions.bands import combined_score
 from lingotide.operators import metrics as M
 from lingotide.operators import scoring as SC
+from lingotide.plans.q_metrics import ALIGNED_SQL
 
 
 @pytest.mark.parametrize(
@@ -43,15 +46,12 @@ def test_combined_score(spark, syl, tone, want):
     assert abs(df.select(combined_score(F.col("s"), F.col("t"))).first()[0] - want) < 1e-9
 
 
-def brute_aligned(probs, targets):
-    scores, m = [], 0
-    for i, token in enumerate(targets):
-        stop = max(min(len(probs), m + (len(probs) - m) // max(1, len(targets) - i)), m + 1)
-        window = [p[token] for p in probs[m:stop]]
-        best = max(window, default=0.0)
-        scores.append(max(best, 0.0))
-        m += (window.index(best) if window and best > 0 else 0) + 1
-    return scores
+def aligned_by_sql(probs, targets):
+    """The recursive SQL of the query, over one utterance."""
+    con = duckdb.connect()
+    tp = pd.DataFrame({"utt_id": 7, "pos": range(len(targets)), "ps": [[float(p[t]) for p in probs] for t in targets]})
+    con.register("tp", tp)
+    return [r[0] for r in con.execute(f"WITH RECURSIVE {ALIGNED_SQL.strip()} SELECT score FROM walk WHERE i > 0 ORDER BY i").fetchall()]
 
 
 @pytest.mark.parametrize("n_frames, n_vocab, targets", [(20, 10, [1, 3, 5, 7]), (10, 20, [1, 2, 3, 4, 5, 6, 7, 8]), (3, 5, [1, 2, 1, 2, 1]), (1, 4, [2]), (50, 6, [5, 5, 5])])
@@ -60,7 +60,26 @@ def test_aligned_scores(spark, n_frames, n_vocab, targets):
     frames = spark.createDataFrame([(7, i, p.tolist()) for i, p in enumerate(probs)], "utt_id long, frame int, probs array<double>")
     wanted = spark.createDataFrame([(7, i, t) for i, t in enumerate(targets)], "utt_id long, pos int, token int")
     got = [r.score for r in SC.score_aligned(wanted, frames, "utt_id").orderBy("pos").collect()]
-    assert np.allclose(got, brute_aligned(probs.tolist(), targets))
+    assert np.allclose(got, aligned_by_sql(probs, targets))
+
+
+def test_aligned_scores_of_many_utterances_and_a_long_one(spark):
+    rng = np.random.default_rng(31)
+    sizes = {f"u{k}": (int(rng.integers(1, 40)), int(rng.integers(1, 12))) for k in range(60)} | {"half an hour": (45_000, 900)}
+    probs = {u: rng.integers(0, 50, (t, 4)) / 50 for u, (t, _) in sizes.items()}
+    tokens = {u: rng.integers(0, 4, n).tolist() for u, (_, n) in sizes.items()}
+    frames = pd.DataFrame([(u, f, row.tolist()) for u, ps in probs.items() for f, row in enumerate(ps)], columns=["utt_id", "frame", "probs"])
+    wanted = pd.DataFrame([(u, p, t) for u, ts in tokens.items() for p, t in enumerate(ts)], columns=["utt_id", "pos", "token"])
+    got = SC.score_aligned(
+        spark.createDataFrame(wanted, "utt_id string, pos int, token int"),
+        # in many batches, so that windows lie across them
+        spark.createDataFrame(frames.sample(frac=1, random_state=1), "utt_id string, frame int, probs array<double>"),
+        "utt_id",
+    ).toPandas()
+    for u in sizes:
+        assert np.allclose(got[got["utt_id"] == u].sort_values("pos")["score"], aligned_by_sql(probs[u], tokens[u]))
+    no_frames = spark.createDataFrame([("x", 0, 1)], "utt_id string, pos int, token int")
+    assert SC.score_aligned(no_frames, spark.createDataFrame(frames[:5], "utt_id string, frame int, probs array<double>"), "utt_id").count() == 0
 
 
 def test_decoding_across_blocks(spark):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingotide.functions import pinyin as PY
+from lingotide.functions.text import WHITESPACE, strip
 from lingotide.operators import corpus as C
 from lingotide.operators import syllables as SY
 
@@ -77,8 +78,60 @@ def test_marked_names_switch_off_yi_and_bu(spark):
         ("", 2, []),
     ],
 )
-def test_splitting(text, n, want):
-    assert PY.split_unspaced(text, n) == want
+def test_splitting(spark, text, n, want):
+    assert split_all(spark, [(text, n)]) == [want]
+
+
+def split_all(spark, cases):
+    df = spark.createDataFrame([(k, *case) for k, case in enumerate(cases)], "k int, rom string, n int")
+    df = df.withColumn("tokens", F.array_remove(F.split(strip(F.col("rom")), f"[{WHITESPACE}]+"), ""))
+    return [r.s for r in PY.split_unspaced(df, "rom", "tokens", "n", "s").orderBy("k").collect()]
+
+
+def plain_split(text, n, whole=None):
+    """The cascade of cuts letter by letter; ``whole`` is the token that is being cut."""
+    marked, vowels = set(PY.MARKED), set(PY.MARKED + "aeiouü")
+    tokens, joined = text.split(), text.replace(" ", "")
+    if len(tokens) == n or not joined:
+        return tokens if len(tokens) == n else []
+    if n == 1:
+        return [joined]
+    low = [c.lower() for c in joined]
+    if sum(c in marked for c in joined) == n:
+        cuts = []
+        for k in [k for k, c in enumerate(joined) if c in marked][:-1]:
+            k += 1
+            while k < len(low) and low[k] in vowels - marked:
+                k += 1
+            for closing in ("ng", "n", "r"):
+                if "".join(low[k:]).startswith(closing):
+                    k += len(closing) if not (low[k + len(closing):] and low[k + len(closing)] in vowels) else 0
+                    break
+            cuts.append(k)
+        return [joined[a:b] for a, b in zip([0, *cuts], [*cuts, len(joined)])]
+    cuts = [
+        k for k in range(1, len(low))
+        if "".join(low[k:k + 2]) in ("zh", "ch", "sh") or low[k] in PY.LETTER_INITIALS and low[k - 1] in vowels | {"n", "g"}
+    ]
+    if len(cuts) + 1 == n:
+        return [joined[a:b] for a, b in zip([0, *cuts], [*cuts, len(joined)])]
+    if 0 < len(tokens) < n and whole is None:
+        pieces = []
+        for token in tokens:
+            share = max(1, min(sum(c in marked for c in token), n - len(tokens) + len(pieces) + 1))
+            pieces += [token] if share == 1 else plain_split(token, share, token)
+        if len(pieces) == n:
+            return pieces
+    width = max(1, len(joined) // n)
+    return [joined[k * width:(k + 1) * width] for k in range(n - 1)] + [joined[(n - 1) * width:]]
+
+
+def test_splitting_against_letter_by_letter(spark):
+    rng = random.Random(5)
+    parts = ["n", "g", "r", "zh", "ch", "h", "m", "a", "ā", "é", "ǒ", "ü", "ǜ", "i", "Ü", "N", "G", "S", "H", " ", "x", "ng", "Ā", "7"]
+    cases = [("".join(rng.choices(parts, k=rng.randint(0, 14))), rng.randint(1, 6)) for _ in range(4000)] + [("āáǎ", 2), ("āáǎ ā", 3)]
+    for case, got in zip(cases, split_all(spark, cases)):
+        assert got == plain_split(*case), case
 
 
 def test_unspaced_rows_go_through_the_splitter(spark):
