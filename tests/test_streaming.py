@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lingotide.operators import practice as P
 from lingotide.streaming import daily as D
+from lingotide.streaming import events as EV
 from lingotide.streaming import progress as PR
 from lingotide.streaming.run import run_updates
 
@@ -49,3 +50,60 @@ def test_daily(spark, tmp_path):
     stream, log = feed(spark, tmp_path)
     got = D.latest_counts(run_updates(D.daily_attempts(stream, "30 days"), "daily"))
     assert sorted(got.collect()) == sorted(P.daily_attempts(log).collect())
+
+
+EVENTS = "learner_id long, sequence_id int, arrival_seq long, kind string, graded_at timestamp, rating string, tracked boolean"
+
+
+def event_rows(n=600):
+    rng = random.Random(4)
+    rows = []
+    for seq in range(n):
+        kind = rng.choices([EV.ATTEMPT, EV.SET, EV.TOGGLE], [5, 1, 3])[0]
+        pair = (1, 1) if rng.random() < 0.4 else (rng.randint(2, 6), rng.randint(1, 4))
+        when = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 60 * 24 * 5))
+        rows.append((*pair, seq, kind, when if kind == EV.ATTEMPT else None, rng.choice(P.RATINGS) if kind == EV.ATTEMPT else None, rng.random() < 0.5 if kind == EV.SET else None))
+    return rows
+
+
+def put(spark, folder, rows):
+    rows = list(rows)
+    random.Random(len(rows)).shuffle(rows)
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_events_with_toggles_over_several_runs(spark, tmp_path):
+    rows, folder, path, checkpoint = event_rows(), str(tmp_path / "log"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+
+    def run():
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+        return run_updates(EV.keep_progress(stream), "progress", path, checkpoint, PR.PAIR, compact_every=2)
+
+    for k in range(3):
+        put(spark, folder, rows[k * 100:(k + 1) * 100])
+    run()
+    # the state carries over to a later run, which compacts again
+    for k in range(3, 6):
+        put(spark, folder, rows[k * 100:(k + 1) * 100])
+    got = run()
+    log = spark.createDataFrame(rows, EVENTS)
+    part = lambda kind: log.filter(F.col("kind") == kind)
+    want = P.progress_state(part(EV.ATTEMPT), part(EV.TOGGLE), part(EV.SET))
+    fields = [*PR.PAIR, "tracked", "last_attempt_at", "attempt_count", "last_rating"]
+    assert sorted(got.select(*fields).collect(), key=str) == sorted(want.select(*fields).collect(), key=str)
+    kept = got.select(*PR.PAIR, F.explode("arrivals").alias("arrival_seq"))
+    retained = P.retain_latest(part(EV.ATTEMPT), 50).select(*PR.PAIR, "arrival_seq")
+    assert sorted(kept.collect()) == sorted(retained.collect())
+    # only batches after the last compaction are read besides it
+    assert (tmp_path / "table/compacted/upto=5").exists() and got.filter("batch_id > 5").isEmpty()
+
+
+def test_a_cut_compaction_is_ignored(spark, tmp_path):
+    folder, path, checkpoint = str(tmp_path / "log"), str(tmp_path / "table"), str(tmp_path / "checkpoint")
+    put(spark, folder, event_rows(50))
+    stream = spark.readStream.schema(EVENTS).parquet(folder)
+    before = run_updates(EV.keep_progress(stream), "progress", path, checkpoint, PR.PAIR)
+    # written, but not in the log
+    before.limit(0).drop("batch_id").write.parquet(f"{path}/compacted/upto=9")
+    again = run_updates(EV.keep_progress(spark.readStream.schema(EVENTS).parquet(folder)), "progress", path, checkpoint, PR.PAIR)
+    assert sorted(map(str, before.collect())) == sorted(map(str, again.collect())) and before.count() > 0
