@@ -21,8 +21,8 @@ def documents(con):
     return con.execute("SELECT doc_id, coalesce(text, '') AS text FROM documents ORDER BY doc_id").df()
 
 
-def test_ten_queries():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
