@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from lingotide.llm.common import whole
 
 # pieces remembered per worker and their ids; beyond it the memory starts afresh
-MEMORY = 1 << 19
+MEMORY = 1 << 17
 # so many characters of texts are worked on at once
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
+# rows of an Arrow batch that are Python strings at once
+ROWS = 256
 _NONE = np.int64(1) << 62
 _PLACES = 32  # bits below a pair's rank that hold its place
 _BLANKS = regex.compile(r"\p{White_Space}+")
@@ -273,7 +275,7 @@ def encoder(spark: SparkSession, rules: BpeRules):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = BpeEncoder(shared.value)
         for batch in batches:
-            parts = list(held.batches(batch.to_pylist()))
+            parts = [p for at in range(0, len(batch), ROWS) for p in held.batches(batch.slice(at, ROWS).to_pylist())]
             flat = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
             counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -290,9 +292,14 @@ def decoder(spark: SparkSession, rules: BpeRules):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = shared.value
         for batch in batches:
-            flat = tokens[batch.values.to_numpy()]
-            ends = batch.offsets.to_numpy()
-            yield pa.array([" ".join(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], type=pa.string())
+            done = [pa.array([], type=pa.string())]
+            for at in range(0, len(batch), ROWS):
+                part = batch.slice(at, ROWS)
+                flat = tokens[part.flatten().to_numpy()]
+                ends = part.offsets.to_numpy()
+                ends = ends - ends[0]
+                done.append(pa.array([" ".join(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], type=pa.string()))
+            yield pa.concat_arrays(done)
 
     return decode
 
