@@ -44,16 +44,31 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp)
 
 
-def tokens_as_text(tokens: Column, known: Column) -> Column:
-    """One character per token: that of the token's place among ``known``, of which there may be 55,000."""
-    code = lambda t: F.lpad(F.hex(F.array_position(known, t) + 0xFF), 4, "0")
-    return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(code(t)), "UTF-16BE")), "")
+# token ids that lie within so many of each other are characters of the basic plane below the surrogates
+_PLANE = 0xD800 - 0x100
+
+
+def _characters(codes: Column) -> Column:
+    """A text of one character per code of at most four hexadecimal digits; one decoding for the whole list."""
+    digits = F.transform(codes, lambda c: F.lpad(F.hex(c.cast("long")), 4, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
 
 
 def token_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance over lists of any token ids; only the distinct ids of the pair itself are numbered."""
+    """Levenshtein distance over lists of integer token ids.
+
+    Ids become characters by their distance from the smallest one, so a list is read once; ids spread over more than
+    a plane of characters are numbered by the distinct ids of the pair, of which there may be 55,000.
+    """
+    low = F.least(F.array_min(ref), F.array_min(hyp)).cast("long")
+    near = F.greatest(F.array_max(ref), F.array_max(hyp)).cast("long") - low < _PLANE
     known = F.array_distinct(F.concat(ref, hyp))
-    return F.levenshtein(tokens_as_text(ref, known), tokens_as_text(hyp, known))
+    # the smallest id is an array of its own, so that it is not looked for again at every token
+    plain = [_characters(F.zip_with(t, F.array_repeat(low, F.size(t)), lambda x, least: x - least + 0x100)) for t in (ref, hyp)]
+    numbered = [_characters(F.transform(t, lambda x: F.array_position(known, x) + 0xFF)) for t in (ref, hyp)]
+    return F.when(F.size(ref) == 0, F.size(hyp)).when(F.size(hyp) == 0, F.size(ref)).when(
+        F.coalesce(near, F.lit(False)), F.levenshtein(*plain)
+    ).otherwise(F.levenshtein(*numbered))
 
 
 def error_rate(distance: Column, ref: Column, hyp: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lingotide.operators.blocks import number_sorted
 from lingotide.operators.corpus import latest_entries
-from lingotide.sources.audio import parse_audio
+from lingotide.sources.audio import read_headers
 
 ENTRY = "struct<pinyin:string,tone:int,voice_id:string,audio_path:string,duration_ms:int>"
 # documents of one lexicon are numbered by ``part`` so that later entries stay later
@@ -61,9 +61,8 @@ def read_lexicon_v2(spark: SparkSession, root: str) -> DataFrame:
     meta = spark.read.schema("voices map<string,string>, tones array<int>").option("multiLine", True).json(f"{root}/metadata.json")
     voices = meta.select(F.explode(F.map_keys("voices")).alias("voice_id"))
     tones = meta.select(F.explode(F.coalesce("tones", F.array(*[F.lit(t) for t in range(5)]))).alias("tone"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
-    parsed = parse_audio(files.select(F.col("path").alias("relative"), "content"))
-    return lexicon_from_files(parsed, voices, None).join(tones, "tone", "left_semi").select(*KEYS, "audio_path", "duration_ms")
+    headers = read_headers(spark, root).drop("relative").withColumnRenamed("path", "relative")
+    return lexicon_from_files(headers, voices, None).join(tones, "tone", "left_semi").select(*KEYS, "audio_path", "duration_ms")
 
 
 def read_lexicon(spark: SparkSession, root: str) -> DataFrame:

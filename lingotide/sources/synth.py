@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lingotide.functions.pinyin import tone_of
 from lingotide.operators.syllables import syllable_arrays
-from lingotide.sources.audio import list_files, parse_audio
+from lingotide.sources.audio import list_files, read_headers
 
 SYLLABLE = "struct<hanzi:string,pinyin:string,tone:int>"
 SPAN = "struct<start_ms:double,end_ms:double>"
@@ -131,9 +131,7 @@ def parse_tts(items: DataFrame, files: DataFrame) -> DataFrame:
 def read_tts(spark: SparkSession, root: str) -> DataFrame:
     docs = spark.read.schema(TTS_DOC).option("multiLine", True).json(f"{root}/sentences.json")
     items = docs.select(F.coalesce("sample_rate", F.lit(16000)).alias("sample_rate"), F.explode("sentences").alias("item"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
-    named = files.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("relative"), "content")
-    return parse_tts(items, parse_audio(named))
+    return parse_tts(items, read_headers(spark, root))
 
 
 def write_synth(samples: DataFrame, stats: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
 import json
+import struct
 import wave
 
 import pytest
@@ -211,6 +212,8 @@ def test_waves_with_other_chunks(spark, tmp_path):
     found = {r.path.rsplit("/", 1)[1]: (r.n_frames, r.sample_rate, r.channels) for r in A.parse_audio(
         spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")).collect()}
     good = (100, 8000, 2)
+    ranged = {r.relative: (r.n_frames, r.sample_rate, r.channels) for r in A.read_headers(spark, str(tmp_path)).collect()}
+    assert ranged == found
     assert found == {n: good if n in ("plain.wav", "junk.wav", "list.wav", "many.wav") else (0, None, None) for n in files}
 
 
@@ -244,3 +247,25 @@ def test_token_distance_takes_any_id(spark):
 
     rows = spark.createDataFrame([([36000, 60000, 5], [36000, 5]), ([70000] * 3, [70000, 1, 70000]), ([], [9])], "a array<int>, b array<int>")
     assert [r[0] for r in rows.select(T.token_distance(F.col("a"), F.col("b"))).collect()] == [1, 1, 1]
+
+
+def test_headers_of_huge_files_are_read_alone(spark, tmp_path):
+    form = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16)
+    data = 3 << 30
+    for name, before in (("S1/long.wav", 0), ("S1/late ü.wav", 1 << 30)):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        with path.open("wb") as file:
+            file.write(b"RIFF" + struct.pack("<I", 0) + b"WAVE")
+            if before:
+                file.write(b"JUNK" + struct.pack("<I", before))
+                file.seek(before, 1)
+            file.write(form + b"data" + struct.pack("<I", data))
+            # a hole: the file takes no room
+            file.truncate(file.tell() + data)
+        with A.open_range(f"file:{path}") as file:
+            assert A.wave_header(file)[4] < 1 << 16
+    got = A.read_audio_catalog(spark, str(tmp_path)).orderBy("utt_id").collect()
+    assert [(r.utt_id, r.n_frames, r.sample_rate) for r in got] == [("late ü", data // 2, 16000), ("long", data // 2, 16000)]
+    (tmp_path / "none").mkdir()
+    assert A.read_audio_catalog(spark, str(tmp_path / "none")).count() == 0

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from lingotide.functions import text as T
@@ -41,6 +42,18 @@ def test_token_distance(spark):
     assert [r.d for r in df.select(T.token_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [1, 1, 0]
 
 
+def test_token_distance_of_long_and_wide_lists(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(0, 40_000, 20_000)
+    # values that occur nowhere else cost one deletion each
+    extra = np.insert(long, np.arange(100, 20_000, 500), 50_000)
+    wide = [10**12 * k for k in range(60)]
+    rows = [(long.tolist(), extra.tolist()), (wide, wide[:30] + wide[31:]), ([-5, 3, 7], [3, 7, 8]), (None, [1])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<long>, b array<long>")
+    got = [r.d for r in df.select("k", T.token_distance(F.col("a"), F.col("b")).alias("d")).orderBy("k").collect()]
+    assert got == [len(extra) - len(long), 1, 2, None]
+
+
 def test_empty_corpus_error_rate(spark):
     row = X.corpus_error_rate(spark.createDataFrame([], "ref array<int>, hyp array<int>")).first()
     assert (row.n_pairs, row.error_rate, row.exact_share) == (0, 0.0, 0.0)
