@@ -63,20 +63,36 @@ def corpus_error_rate(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 ITEM = "struct<text:string,romanization:string,translation:string,tags:array<string>,difficulty:int>"
 
 
-def normalize_generated(batches: DataFrame, start: int = 1) -> DataFrame:
-    """Items of generated JSON responses as dataset rows with running ids.
+def generated_items(batches: DataFrame) -> DataFrame:
+    """(batch_id, language, response, items): the items of each generated JSON response, null where it holds none.
 
-    ``batches`` has batch_id, language and response. A response holds its items under ``sentences`` or
-    ``items``, or is itself a list or a single item. Ids run over batches in batch order.
+    A response holds its items under ``sentences`` or ``items``, or is itself a list or a single item.
     """
     doc = F.from_json("response", f"struct<sentences:array<{ITEM}>,items:array<{ITEM}>>")
     as_list = F.from_json("response", f"array<{ITEM}>")
     as_item = F.from_json("response", ITEM)
     given = F.when(F.size(doc["sentences"]) > 0, doc["sentences"]).when(F.size(doc["items"]) > 0, doc["items"])
     whole = F.when(F.ltrim("response").startswith("["), as_list).otherwise(F.array(as_item))
-    items = batches.select("batch_id", "language", F.posexplode(F.coalesce(given, whole)).alias("pos", "item"))
-    # a malformed response or an empty list has no item and takes no id
-    items = items.filter(F.col("item").isNotNull() & (F.to_json("item") != "{}"))
+    # a malformed response or an empty list has no item
+    items = F.filter(F.coalesce(given, whole), lambda item: item.isNotNull() & (F.to_json(item) != "{}"))
+    return batches.select("batch_id", "language", "response", F.when(F.size(items) > 0, items).alias("items"))
+
+
+def failed_batches(batches: DataFrame) -> DataFrame:
+    """(batch_id, language, response, reason) of the responses that give no item, with the text as it came."""
+    blank = F.coalesce(F.trim("response"), F.lit("")) == ""
+    reason = F.when(blank, "no response").when(F.try_parse_json("response").isNull(), "no JSON").otherwise("no items")
+    failed = generated_items(batches).filter(F.col("items").isNull())
+    return failed.select("batch_id", "language", "response", reason.alias("reason"))
+
+
+def normalize_generated(batches: DataFrame, start: int = 1) -> DataFrame:
+    """Items of generated JSON responses as dataset rows with running ids.
+
+    ``batches`` has batch_id, language and response. Ids run over batches in batch order; :func:`failed_batches` has the
+    responses without any.
+    """
+    items = generated_items(batches).select("batch_id", "language", F.posexplode("items").alias("pos", "item"))
     numbered = number_sorted(items, ["batch_id", "pos"], "_no")
     stripped = T.strip(F.coalesce("item.text", F.lit("")))
     chinese = F.lower("language").startswith("zh")

@@ -126,7 +126,7 @@ def src5(v: Views):
         "concat('/data/wav/S', c_nationkey, '/utt', c_custkey, '.wav') AS path",
         f"CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST('broken' AS BINARY) ELSE {_wave(samples)} END AS content",
     )
-    rows = A.audio_catalog(files)
+    rows = A.audio_catalog(A.parse_audio(files))
     return rows.select("speaker", "utt_id", "n_frames", "sample_rate", F.round("duration", 8).alias("duration"))
 
 

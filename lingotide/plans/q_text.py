@@ -44,22 +44,22 @@ s AS (SELECT *, CASE WHEN cer >= 1 THEN 0 ELSE round((1.0E0 - cer) * 100) END AS
   CASE WHEN rl = 0 THEN 100 WHEN hl = 0 THEN 0 WHEN matched <= 0 THEN 0 ELSE round(least(greatest(matched / rl, 0), 1) * 100) END AS compl FROM c)"""
 
 
-@query("str3_edit_distance", f"{PAIR_SQL} SELECT id, distance FROM s WHERE hyp IS NOT NULL")
+@query("str3_edit_distance", f"{PAIR_SQL} SELECT id, distance FROM s")
 def str3(v: Views):
-    return X.score_pairs(v.text_pairs.filter("hyp IS NOT NULL")).select("id", F.col("distance").cast("long").alias("distance"))
+    return X.score_pairs(v.text_pairs).select("id", F.col("distance").cast("long").alias("distance"))
 
 
-@query("str4_error_rate", f"{PAIR_SQL} SELECT id, round(cer, 6) AS cer FROM s WHERE hyp IS NOT NULL")
+@query("str4_error_rate", f"{PAIR_SQL} SELECT id, round(cer, 6) AS cer FROM s")
 def str4(v: Views):
-    return X.score_pairs(v.text_pairs.filter("hyp IS NOT NULL")).select("id", F.round("cer", 6).alias("cer"))
+    return X.score_pairs(v.text_pairs).select("id", F.round("cer", 6).alias("cer"))
 
 
 @query(
     "str5_error_score",
-    f"{PAIR_SQL} SELECT id, CAST(score AS INT) AS score, CAST(compl AS INT) AS completeness FROM s WHERE hyp IS NOT NULL",
+    f"{PAIR_SQL} SELECT id, CAST(score AS INT) AS score, CAST(compl AS INT) AS completeness FROM s",
 )
 def str5(v: Views):
-    return X.score_pairs(v.text_pairs.filter("hyp IS NOT NULL")).select("id", "score", "completeness")
+    return X.score_pairs(v.text_pairs).select("id", "score", "completeness")
 
 
 @query(

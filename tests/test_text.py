@@ -101,3 +101,12 @@ def test_generated_layouts(spark):
     ]
     assert got[1].gloss == {"en": "t"} and got[1].tags == ["a"] and got[1].difficulty == 3
     assert got[0].gloss == {"en": ""} and got[0].tags == [] and got[0].difficulty == 1
+
+
+def test_failed_batches(spark):
+    rows = [(1, "zh-CN", '{"items": [{"text": "好。"}]}'), (2, "zh-CN", "sorry, I cannot"), (3, "en", '{"sentences": []}'), (4, "en", None), (5, "en", '[{"text": "a"}, {"x": 1}]'), (6, "en", " ")]
+    batches = spark.createDataFrame(rows, "batch_id int, language string, response string")
+    failed = {r.batch_id: (r.response, r.reason) for r in X.failed_batches(batches).collect()}
+    assert failed == {2: ("sorry, I cannot", "no JSON"), 3: ('{"sentences": []}', "no items"), 4: (None, "no response"), 6: (" ", "no response")}
+    got = [(r.id, r.text) for r in X.normalize_generated(batches).orderBy("id").collect()]
+    assert got == [("ts_000001", "好"), ("ts_000002", "a")]
