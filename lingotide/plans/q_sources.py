@@ -86,6 +86,34 @@ def src3(v: Views):
     return TR.read_interleaved(v.spark, path)
 
 
+NATIVE_FRAMES = "3200 * CAST({n} AS BIGINT) + doc_id % 97"
+
+
+@query(
+    "src11_native_corpus",
+    f"""
+SELECT CAST(sentence_id AS VARCHAR) AS id, concat('S', doc_id % 7) AS speaker, repeat('x', CAST(len(words) AS INT)) AS text, len(words) AS n_syllables,
+  array_to_string(list_transform(words, lambda w: {word_case(0, 'length(w) % 8')}), ' ') AS pinyin,
+  array_to_string(list_transform(words, lambda w: {word_case(1, 'length(w) % 8')}), '') AS tones,
+  (len(words) - 1) * (({NATIVE_FRAMES.format(n='len(words)')}) // len(words)) AS last_start, {NATIVE_FRAMES.format(n='len(words)')} AS last_end, 16000 AS sample_rate
+FROM sentences WHERE sentence_id % 11 > 0""",
+)
+def src11_native(v: Views):
+    """Every sentence as a recording with its transcript; one of eleven waves is broken."""
+    path = scratch_path(v.spark, "native")
+    v.interleaved.select("value").write.text(path)
+    files = v.sentences.selectExpr(
+        "concat('/data/wav/S', doc_id % 7, '/', sentence_id, '.wav') AS path",
+        f"CASE WHEN sentence_id % 11 = 0 THEN CAST('broken' AS BINARY) ELSE {_wave(NATIVE_FRAMES.format(n='size(words)'))} END AS content",
+    )
+    rows = CO.native_sentences(TR.read_interleaved(v.spark, path), A.parse_audio(files))
+    last = F.element_at("boundaries", -1)
+    return rows.select(
+        "id", "speaker", "text", F.size("syllables").alias("n_syllables"), F.array_join("syllables.pinyin", " ").alias("pinyin"),
+        F.array_join(F.col("syllables.tone").cast("array<string>"), "").alias("tones"), last["start"].alias("last_start"), last["end"].alias("last_end"), "sample_rate",
+    )
+
+
 @query(
     "src4_read_transcript",
     r"""

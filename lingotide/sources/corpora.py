@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lingotide.functions.units import HOP, WINDOW
 from lingotide.functions.draws import draw
+from lingotide.functions.pinyin import parse_numbered
+from lingotide.functions.units import HOP, WINDOW
 from lingotide.operators.blocks import number_rows, number_sorted
+from lingotide.sources.audio import read_headers
+from lingotide.sources.transcripts import read_interleaved
 
 
 def join_transcripts(files: DataFrame, transcripts: DataFrame, key: str = "utt_id") -> DataFrame:
@@ -32,6 +35,52 @@ def pair_features(meta: DataFrame, feats: DataFrame, key: str = "utt_id", hop: i
     )
 
 
+def even_ranges(total: str, n: str) -> Column:
+    """array<struct<start, end>>: n even ranges of samples, the last one running to the end."""
+    return F.expr(
+        f"transform(sequence(0, {n} - 1), i -> named_struct('start', i * ({total} div {n}), 'end', if(i = {n} - 1, {total}, (i + 1) * ({total} div {n}))))"
+    )
+
+
+def native_sentences(transcripts: DataFrame, headers: DataFrame, speakers: Sequence[str] | None = None) -> DataFrame:
+    """Native recordings in the common shape: id, speaker, audio_path, text, syllables, boundaries, sample_rate, total_samples.
+
+    ``transcripts`` has utt_id, hanzi and numbered pinyin; ``headers`` are those of the waves below ``<speaker>/<utt>.wav``. A syllable is
+    (hanzi, pinyin, tone), its character being that of its place; without pinyin every Chinese character is a syllable without a tone.
+    Boundaries are even. Recordings without transcript, syllables or samples are dropped, as are those of other ``speakers``.
+    """
+    at = "([^/]+)/([^/]+)\\.wav$"
+    files = headers.filter("n_frames > 0").select(
+        F.regexp_extract("path", at, 1).alias("speaker"), F.regexp_extract("path", at, 2).alias("utt_id"), F.col("path").alias("audio_path"),
+        "sample_rate", F.col("n_frames").cast("long").alias("total_samples"),
+    )
+    if speakers is not None:
+        files = files.filter(F.col("speaker").isin(list(speakers)))
+    characters = F.split("hanzi", "")
+    spoken = F.transform(
+        parse_numbered(F.col("pinyin")),
+        lambda p, i: F.struct(
+            F.coalesce(F.get(characters, i), F.lit("")).alias("hanzi"), p["base"].alias("pinyin"), p["tone"].alias("tone")
+        ),
+    )
+    unspoken = F.transform(
+        F.filter(characters, lambda c: c.rlike("^[\\x{4E00}-\\x{9FFF}]$")),
+        lambda c: F.struct(c.alias("hanzi"), F.lit("").alias("pinyin"), F.lit(0).alias("tone")),
+    )
+    rows = join_transcripts(files, transcripts.select("utt_id", "hanzi", "pinyin"))
+    rows = rows.withColumn("syllables", F.when(F.trim("pinyin") == "", unspoken).otherwise(spoken))
+    rows = rows.filter(F.size("syllables") > 0).withColumn("_n", F.size("syllables"))
+    return rows.select(
+        F.col("utt_id").alias("id"), "speaker", "audio_path", F.col("hanzi").alias("text"), "syllables",
+        even_ranges("total_samples", "_n").alias("boundaries"), "sample_rate", "total_samples",
+    )
+
+
+def read_native(spark: SparkSession, root: str, speakers: Sequence[str] | None = None) -> DataFrame:
+    """A corpus folder of native recordings: ``content.txt`` with interleaved transcripts, waves below ``wav/<speaker>/``."""
+    return native_sentences(read_interleaved(spark, f"{root}/content.txt"), read_headers(spark, f"{root}/wav"), speakers)
+
+
 # Corpus domains, native recordings and synthetic speech.
 NATIVE, TTS = 0, 1
 

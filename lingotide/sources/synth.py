@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lingotide.functions.pinyin import tone_of
 from lingotide.operators.syllables import syllable_arrays
 from lingotide.sources.audio import list_files, read_headers
+from lingotide.sources.corpora import even_ranges
 
 SYLLABLE = "struct<hanzi:string,pinyin:string,tone:int>"
 SPAN = "struct<start_ms:double,end_ms:double>"
@@ -113,16 +114,12 @@ def parse_tts(items: DataFrame, files: DataFrame) -> DataFrame:
         .join(files.filter("n_frames > 0").select(F.col("relative").alias("_path"), F.col("n_frames").cast("long").alias("total_samples")), "_path")
         .withColumn("_n", F.size("item.syllables"))
     )
-    bounds = F.expr(
-        "transform(sequence(0, _n - 1), i -> named_struct('start', i * (total_samples div _n),"
-        " 'end', if(i = _n - 1, total_samples, (i + 1) * (total_samples div _n))))"
-    )
     return rows.select(
         F.col("item.id").alias("id"),
         F.col("_path").alias("audio_path"),
         F.coalesce("item.text", F.lit("")).alias("text"),
         F.transform("item.syllables", syllable).alias("syllables"),
-        bounds.alias("boundaries"),
+        even_ranges("total_samples", "_n").alias("boundaries"),
         "sample_rate",
         "total_samples",
     )

@@ -269,3 +269,16 @@ def test_headers_of_huge_files_are_read_alone(spark, tmp_path):
     assert [(r.utt_id, r.n_frames, r.sample_rate) for r in got] == [("late ü", data // 2, 16000), ("long", data // 2, 16000)]
     (tmp_path / "none").mkdir()
     assert A.read_audio_catalog(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_native_corpus(spark, tmp_path):
+    (tmp_path / "content.txt").write_text("u1.wav\t广 guang3 州 Zhou1 x\nu2.wav\t好 hao5\nu3.wav\t女 nv3\nu5.wav\t你\nu6.wav\tabc\n")
+    for name, n in (("S1/u1", 100), ("S2/u2", 7), ("S2/u3", 0), ("S2/u4", 50), ("S1/u5", 9), ("S1/u6", 9)):
+        write_wave(tmp_path / f"wav/{name}.wav", n)
+    got = {r.id: r for r in CO.read_native(spark, str(tmp_path)).collect()}
+    assert set(got) == {"u1", "u2", "u5"}
+    assert [tuple(s) for s in got["u1"].syllables] == [("广", "guang", 3), ("州", "zhou", 1)] and got["u1"].text == "广州x"
+    assert [tuple(b) for b in got["u1"].boundaries] == [(0, 50), (50, 100)] and got["u1"].sample_rate == 16000
+    assert [tuple(s) for s in got["u2"].syllables] == [("好", "hao", 0)] and [tuple(b) for b in got["u2"].boundaries] == [(0, 7)]
+    assert [tuple(s) for s in got["u5"].syllables] == [("你", "", 0)] and got["u5"].speaker == "S1"
+    assert [r.id for r in CO.read_native(spark, str(tmp_path), ["S2"]).collect()] == ["u2"]
