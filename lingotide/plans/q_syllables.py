@@ -408,12 +408,17 @@ def agg10(v: Views):
     return C.synth_stats(_sandhi(v), v.lexicon, "sentence_id", VOICES, 2).withColumn("pct", F.round("pct", 6))
 
 
+# utterances that even the smallest prediction table has; the sentences of a document are takes of one of them
+UTTERANCES = 62
+
+
 @query(
     "jn12_pair_by_position",
-    """
+    f"""
 SELECT s.sentence_id, s.idx, s.base, p.predicted FROM syllables s
-JOIN (SELECT p.utt_id * 100000 AS sentence_id, idx, predicted FROM predictions p) p ON p.sentence_id = s.sentence_id AND p.idx = s.idx""",
+JOIN predictions p ON p.utt_id = s.sentence_id // 100000 % {UTTERANCES} AND p.idx = s.idx""",
 )
 def jn12(v: Views):
-    scores = v.predictions.select((F.col("utt_id") * 100000).alias("sentence_id"), "idx", "predicted")
-    return C.pair_by_position(v.syllables, scores, "sentence_id").select("sentence_id", "idx", "base", "predicted")
+    """Every sentence with the scores of its utterance; syllables beyond the last score are dropped."""
+    takes = v.syllables.withColumn("utt_id", F.expr(f"sentence_id div 100000 % {UTTERANCES}"))
+    return C.pair_by_position(takes, v.predictions.select("utt_id", "idx", "predicted"), "utt_id").select("sentence_id", "idx", "base", "predicted")

@@ -124,28 +124,37 @@ def source_info(df: DataFrame, declared: Sequence[tuple[str, str]], splits: Sequ
     )
 
 
+# bits of a draw, and rows of the bucket with the cut that are put in order
+HASH_BITS = 60
+CUT_ROWS = 1 << 20
+
+
 def train_split(df: DataFrame, key: str, fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """Add ``split`` ('train' or 'validation'): exactly int(n * fraction) train rows, by hash order of the unique key.
 
-    The hash at the cut is found by counting leading bits, 16 at a time within the bucket that holds
-    it, so the rows themselves are labelled in one pass without a shuffle.
+    One aggregation counts the rows by the leading bits of their hash, at most 65,536 counters whatever the input. They tell the bucket
+    with the cut, and the rows of that bucket alone are put in order. A bucket that is still large is counted by its next bits first.
+    The rows themselves are labelled in one pass without a shuffle.
     """
     hashed = draw(seed, key)
-    hashes = df.select(hashed.alias("_h"))
-    need, bucket = int(df.count() * fraction), None
-    if need == 0:
-        return df.withColumn("split", F.lit("validation"))
-    # at most 65,536 counts per step; a step ends with one row
-    w = Window.partitionBy(F.lit(0)).orderBy("_b")
-    for shift in (48, 32, 16, 0):
-        inside = hashes if bucket is None else hashes.filter(F.shiftright("_h", shift + 16) == bucket)
-        counts = inside.groupBy(F.shiftright("_h", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-        upto = counts.withColumn("_upto", F.sum("_n").over(w)).filter(F.col("_upto") >= need)
-        hit = upto.orderBy("_b").first()
-        bucket, need = hit["_b"], need - (hit["_upto"] - hit["_n"])
-    # the rare keys that share the hash at the cut are told apart by the key
-    last = df.filter(hashed == bucket).select(key).orderBy(key).limit(need).agg(F.max(key)).first()[0]
-    train = (hashed < bucket) | ((hashed == bucket) & (F.col(key) <= last))
+    inside, shift = df.select(hashed.alias("_h"), key), HASH_BITS
+    need: int | None = None
+    while True:
+        shift -= 16
+        counts = inside.groupBy(F.shiftright("_h", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_n")).toPandas().sort_values("_b")
+        upto = counts["_n"].cumsum()
+        need = int(counts["_n"].sum() * fraction) if need is None else need
+        if need == 0:
+            return df.withColumn("split", F.lit("validation"))
+        at = int(upto.searchsorted(need))
+        bucket, rows = int(counts["_b"].iloc[at]), int(counts["_n"].iloc[at])
+        need -= int(upto.iloc[at]) - rows
+        inside = inside.filter(F.shiftright("_h", shift) == bucket)
+        if rows <= CUT_ROWS or shift < 16:
+            break
+    # keys that share the hash at the cut are told apart by the key
+    last = inside.orderBy("_h", key).limit(need).agg(F.max(F.struct("_h", key)).alias("last")).first()["last"]
+    train = (hashed < last["_h"]) | ((hashed == last["_h"]) & (F.col(key) <= last[key]))
     return df.withColumn("split", F.when(train, "train").otherwise("validation"))
 
 

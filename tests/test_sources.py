@@ -282,3 +282,15 @@ def test_native_corpus(spark, tmp_path):
     assert [tuple(s) for s in got["u2"].syllables] == [("好", "hao", 0)] and [tuple(b) for b in got["u2"].boundaries] == [(0, 7)]
     assert [tuple(s) for s in got["u5"].syllables] == [("你", "", 0)] and got["u5"].speaker == "S1"
     assert [r.id for r in CO.read_native(spark, str(tmp_path), ["S2"]).collect()] == ["u2"]
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 50, 1])
+def test_split_sizes_whatever_the_bucket(spark, monkeypatch, rows):
+    monkeypatch.setattr(CO, "CUT_ROWS", rows)
+    # a draw of few values, so that many keys share the hash at the cut
+    monkeypatch.setattr(CO, "draw", lambda seed, key: F.col(key) % 7 * F.lit(1 << 45))
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    order = sorted(range(1000), key=lambda k: (k % 7, k))
+    for fraction in (0.0, 0.333, 0.8, 1.0):
+        got = {r.k for r in CO.train_split(df, "k", fraction).filter("split = 'train'").collect()}
+        assert got == set(order[: int(1000 * fraction)])
